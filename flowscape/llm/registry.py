@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import chat, media, secrets
 
 
 def queries() -> dict:
     return {
+        "op2_chat": chat.op2_chat,
+        "op6_media": media.op6_media,
         "op10_secrets": secrets.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_chat": chat.ORACLE,
+    }
