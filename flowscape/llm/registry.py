@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, media, secrets
+from . import chat, media, mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op2_chat": chat.op2_chat,
+        "op3_quality": quality.op3_quality,
+        "op4_mixing": mixing.op4_mixing,
         "op6_media": media.op6_media,
         "op10_secrets": secrets.op10_secrets,
     }
