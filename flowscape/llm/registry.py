@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, quality, secrets
+from . import chat, media, mixing, neardup, quality, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_mixing": mixing.op4_mixing,
         "op6_media": media.op6_media,
+        "op8_neardup": neardup.op8_neardup,
         "op10_secrets": secrets.op10_secrets,
     }
 
