@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, media, mixing, neardup, quality, secrets
+from . import chat, decontaminate, media, mixing, neardup, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_leaks": decontaminate.op1_leaks,
         "op2_chat": chat.op2_chat,
         "op3_quality": quality.op3_quality,
         "op4_mixing": mixing.op4_mixing,
