@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, mixing, neardup, quality, secrets
+from . import chat, decontaminate, media, mixing, neardup, quality, secrets, substrings
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat": chat.op2_chat,
         "op3_quality": quality.op3_quality,
         "op4_mixing": mixing.op4_mixing,
+        "op5_substrings": substrings.op5_substrings,
         "op6_media": media.op6_media,
         "op8_neardup": neardup.op8_neardup,
         "op10_secrets": secrets.op10_secrets,
