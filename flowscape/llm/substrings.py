@@ -201,7 +201,8 @@ def _by_hash(slices: DataFrame) -> DataFrame:
 def duplicate_runs(rows: DataFrame) -> DataFrame:
     """rows(doc_id, rid, text) -> doc_id, rid, runs: the byte ranges to remove, unmerged."""
     every = save(_segments(rows), "sub-segments")
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    # Written, so that the join below has two plain sides and a hot anchor can be split.
+    again = save(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor"), "sub-again")
     shared = save(every.join(again, "anchor"), "sub-shared")
     drop_saved(every)
     distinct = save(shared.groupBy("anchor", "s1", "s2", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "rid", "start")).alias("at")), "sub-distinct")
