@@ -17,8 +17,8 @@ whose signature agrees nearly everywhere, or becomes a leader itself; candidates
 leader.  A bucket over ``LARGE`` nodes first gives the nodes close to its least id to that
 leader, and what remains is banded again by other coordinates, so no task gets an unbounded
 group, no pairs are enumerated and no node is left out.  Candidates are verified on the full
-shingle sets.  A node that its leader narrowly fails is then compared with the leader's
-other members, unless they are in one class already.
+shingle sets.  A node that joins no leader is compared with all that may be similar and with
+the best-agreeing of their members, so that a chain of links does not break at a leader.
 
 Null and empty texts are equal to each other and form one class; repeated rows get the same
 class; an id that appears with different texts gets a row and a class for each; empty tables
@@ -152,26 +152,33 @@ def _leaders(rows: DataFrame) -> DataFrame:
     """rows(bucket, node, short) of buckets of at most LARGE nodes -> candidate pairs (a, b = leader)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heads, sigs, used, out = None, np.zeros(16, np.int64), np.zeros((16, K), np.uint8), 0, []
+        now, used, heads, out = None, 0, [], []
+        nodes, sigs, lead = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64)
         for batch in batches:
             shorts = batch.column(2).to_pylist()
             for bucket, node, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shorts, strict=True):
                 if bucket != now:
-                    now, used = bucket, 0
-                own = np.frombuffer(short, np.uint8)
-                joined = False
+                    now, used, heads = bucket, 0, []
+                own, mine = np.frombuffer(short, np.uint8), used
                 if used:
-                    same = (sigs[:used] == own).sum(axis=1)
-                    best = int(same.argmax())
-                    joined = same[best] >= JOIN
-                    for i in (best,) if joined else np.flatnonzero(same >= MAYBE):
-                        if node != heads[i]:
-                            out.append((node, int(heads[i])))
-                if not joined:
-                    if used == len(heads):
-                        heads, sigs = np.concatenate([heads, heads]), np.concatenate([sigs, sigs])
-                    heads[used], sigs[used] = node, own
-                    used += 1
+                    same = (sigs[heads] == own).sum(axis=1)
+                    order = np.argsort(-same, kind="stable")
+                    near = [heads[i] for i in order if same[i] >= MAYBE]
+                    joined = same[order[0]] >= JOIN
+                    tries = near[:2] if joined else near
+                    if near and not joined:
+                        # The members of these leaders that agree best may link where the leaders fail.
+                        member = np.flatnonzero(np.isin(lead[:used], near))
+                        agree = (sigs[member] == own).sum(axis=1)
+                        tries = [*near, *member[np.argsort(-agree, kind="stable")[:2]].tolist()]
+                    out += [(node, int(nodes[i])) for i in dict.fromkeys(tries) if nodes[i] != node]
+                    mine = heads[order[0]] if joined else used
+                if mine == used:
+                    heads.append(used)
+                if used == len(nodes):
+                    nodes, lead, sigs = np.concatenate([nodes, nodes]), np.concatenate([lead, lead]), np.concatenate([sigs, sigs])
+                nodes[used], lead[used], sigs[used] = node, mine, own
+                used += 1
             columns = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
             out = []
@@ -272,20 +279,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     nodes = save(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("short").alias("short"), F.first("bands").alias("bands")), "near-nodes")
     pairs = save(candidates(nodes).where("a <> b"), "near-pairs")
     members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _packed(documents, key, text).join(members, "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
+    texts = _packed(documents, key, text).join(members.hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
     texts = save(texts, "near-texts")
     seen = save(verify(pairs, texts), "near-seen")
     links = seen.where(F.col("sim") >= SIMILAR).select("a", "b")
     labels = components(links)
-    # Nodes their leader narrowly fails: d(v, u) <= 0.2 needs d(v, leader) - d(u, leader) <= 0.2.
-    fails = seen.where((F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1)).select(F.col("a").alias("v"), "b", F.col("sim").alias("sv"))
-    joined = seen.where(F.col("sim") >= SIMILAR).select(F.col("a").alias("u"), "b", F.col("sim").alias("su"))
-    label = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
-    undecided = fails.join(label("v"), "v", "left").join(label("b"), "b").where(F.coalesce("lv", "v") != F.col("lb"))
-    more = save(undecided.join(joined, "b").where((F.col("v") != F.col("u")) & (F.col("sv") + 1 - SIMILAR >= F.col("su"))).select(F.col("v").alias("a"), F.col("u").alias("b")).distinct(), "near-more")
-    if more.limit(1).count():
-        extra = save(verify(more, texts), "near-extra").where(F.col("sim") >= SIMILAR).select("a", "b")
-        labels = components(links.unionByName(extra))
     drop_saved(texts)
     named = nodes.join(labels, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))
     return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "copy_of")

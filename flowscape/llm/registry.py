@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, mixing, neardup, quality, secrets, substrings
+import corpus_pipeline
+
+from . import chat, decontaminate, licenses, media, mixing, neardup, quality, secrets, substrings, webtext
 
 
 def queries() -> dict:
@@ -13,8 +15,11 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_substrings": substrings.op5_substrings,
         "op6_media": media.op6_media,
+        "op7_licenses": licenses.op7_licenses,
         "op8_neardup": neardup.op8_neardup,
+        "op9_webtext": webtext.op9_webtext,
         "op10_secrets": secrets.op10_secrets,
+        "pipeline": corpus_pipeline.run,
     }
 
 
