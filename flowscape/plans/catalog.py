@@ -167,7 +167,7 @@ HIST = ", e AS (SELECT unnest(" + str(EDGES) + "::BIGINT[]) AS lo, unnest(" + st
 KS = ", x AS (SELECT target, packet_count, sum(CASE WHEN condition = 'raw' THEN n ELSE 0 END) AS na, sum(CASE WHEN condition = 'retained' THEN n ELSE 0 END) AS nb FROM cond WHERE condition <> 'removed' GROUP BY 1, 2), y AS (SELECT target, sum(na) OVER r AS ca, sum(nb) OVER r AS cb, sum(na) OVER (PARTITION BY target) AS ta, sum(nb) OVER (PARTITION BY target) AS tb FROM x WINDOW r AS (PARTITION BY target ORDER BY packet_count)) SELECT target, CASE WHEN max(ta) * max(tb) > 0 THEN max(abs(ca * tb - cb * ta))::DOUBLE / (max(ta)::DOUBLE * max(tb)::DOUBLE) END AS ks FROM y GROUP BY 1"
 TUPLE = "SELECT l.flow_id, l.start_time AS t0, count(*) AS total, count(*) FILTER (k.ts < start_time) AS before, count(*) FILTER (k.ts > start_time) AS after, count(*) FILTER (k.src_ip = l.src_ip AND k.src_port = l.src_port) AS forward, count(*) FILTER (NOT (k.src_ip = l.src_ip AND k.src_port = l.src_port)) AS reverse, max(k.ts) FILTER (k.ts < start_time) AS previous_ts, min(k.ts) FILTER (k.ts > start_time) AS next_ts, max(k.ts) FILTER (k.ts < start_time AND k.src_ip <> l.src_ip) AS reverse_before_ts, min(k.ts) FILTER (k.ts > start_time AND k.src_ip <> l.src_ip) AS reverse_after_ts" + "".join(f", count(*) FILTER (k.ts < start_time AND k.ts - start_time >= -{n}) AS before_{n}s, count(*) FILTER (k.ts > start_time AND k.ts - start_time <= {n}) AS after_{n}s" for n in (3600, 86400, 259200)) + " FROM lab l JOIN k ON k.protocol = l.protocol AND ((k.src_ip = l.src_ip AND k.src_port = l.src_port AND k.dst_ip = l.dst_ip AND k.dst_port = l.dst_port) OR (k.src_ip = l.dst_ip AND k.src_port = l.dst_port AND k.dst_ip = l.src_ip AND k.dst_port = l.src_port)) WHERE l.packet_count = 1 AND NOT broad_removed GROUP BY 1, 2"
 SOURCE = "SELECT l.flow_id, count(*) AS packets, count(DISTINCT k.dst_ip || ':' || k.dst_port) AS unique_targets, count(DISTINCT k.dst_ip) AS unique_ips, count(DISTINCT k.dst_port) AS unique_ports FROM lab l JOIN k ON k.src_ip = l.src_ip AND k.protocol = 6 AND k.fl & 2 <> 0 AND k.fl & 16 = 0 AND abs(k.ts - l.start_time) <= 86400 WHERE l.packet_count = 1 AND NOT broad_removed AND l.initial_syn_sender_ip IS NOT NULL GROUP BY 1"
-_c3 = "(SELECT *, unnest(list_filter(['raw', CASE WHEN NOT strict_removed THEN 'strict' END, CASE WHEN NOT broad_removed THEN 'broad' END], x -> x IS NOT NULL)) AS name FROM lab)"
+_c3 = "(SELECT *, unnest([x FOR x IN ['raw', CASE WHEN NOT strict_removed THEN 'strict' END, CASE WHEN NOT broad_removed THEN 'broad' END] IF x IS NOT NULL]) AS name FROM lab)"
 JACCARD = f", v AS (SELECT flow_id, name FROM {_c3}) SELECT x.a, x.b, count(*) FILTER (ha AND hb) AS common, count(*) FILTER (ha OR hb) AS either, round(count(*) FILTER (ha AND hb) / nullif(count(*) FILTER (ha OR hb), 0)::DOUBLE, 9) AS jaccard FROM (VALUES ('raw', 'strict'), ('raw', 'broad'), ('strict', 'broad')) x(a, b) CROSS JOIN LATERAL (SELECT flow_id, bool_or(name = x.a) AS ha, bool_or(name = x.b) AS hb FROM v GROUP BY 1) GROUP BY 1, 2"
 HOSTS = ", ends AS (SELECT analysis_prefix, broad_removed, src_ip AS ip, packets_from_src > 0 AS sent FROM mem JOIN lab USING (flow_id) WHERE src_match UNION ALL SELECT analysis_prefix, broad_removed, dst_ip, packets_from_dst > 0 FROM mem JOIN lab USING (flow_id) WHERE dst_match) SELECT analysis_prefix, count(DISTINCT ip) AS raw_endpoints, count(DISTINCT CASE WHEN sent THEN ip END) AS raw_senders, count(DISTINCT CASE WHEN broad_removed THEN ip END) AS removed_endpoints, count(DISTINCT CASE WHEN NOT broad_removed THEN ip END) AS retained_endpoints, count(DISTINCT CASE WHEN broad_removed AND sent THEN ip END) AS removed_senders FROM ends GROUP BY 1"
 
