@@ -10,8 +10,8 @@ one end-of-block bit) and whole frames are packed and unpacked as arrays.
 ``parse_avi`` walks the RIFF chunks, finds the frames through the ``idx1`` index and reads
 ``avih`` for the frame time.  ``decode_frame`` decodes the intra frames; files with other
 Huffman tables go through a bit-by-bit decoder of grey baseline frames.  ``shots`` compares
-histograms of neighbouring frames against a threshold that adapts to the file (mean plus
-``k`` deviations of its differences) and gives timed clips.
+histograms of neighbouring frames against a threshold that adapts to the file (``k`` times
+the mean of its differences) and gives timed clips.
 
 Null and empty texts become one frame of padding.  Equal texts give equal files, so repeated
 rows agree; empty tables give empty results; extra columns are ignored by the query.
@@ -221,15 +221,15 @@ def decode_frame(data: bytes) -> np.ndarray:
 
 def shots(samples: np.ndarray, k: float = 3.0, least: float = 0.1) -> list[tuple[int, int]]:
     """Frame ranges [start, end) of the shots.  A cut lies where the histogram difference
-    (half the L1 distance of 16-bin histograms, 0 to 1) exceeds both ``least`` and the mean
-    plus ``k`` standard deviations of the file's differences."""
+    (half the L1 distance of 16-bin histograms, 0 to 1) exceeds both ``least`` and ``k`` times
+    the mean of the file's differences."""
     n = len(samples)
     if n < 2:
         return [(0, n)]
     bins = (samples >> 4).astype(np.int64) + 16 * np.arange(n)[:, None]
     hist = np.bincount(bins.ravel(), minlength=16 * n).reshape(n, 16)
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * samples.shape[1])
-    cuts = np.flatnonzero(diff > max(least, diff.mean() + k * diff.std())) + 1
+    cuts = np.flatnonzero(diff > max(least, k * diff.mean())) + 1
     edges = [0, *cuts.tolist(), n]
     return list(zip(edges[:-1], edges[1:], strict=True))
 

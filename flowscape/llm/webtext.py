@@ -130,14 +130,6 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _tokens(found: list[tuple[str, str, bool, bool]]) -> Counter:
-    out: Counter = Counter()
-    for path, words, _, _ in found:
-        out[_hash(path, words)] += 1
-        out[_hash(path)] += 1
-    return out
-
-
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
@@ -150,14 +142,16 @@ def templates(pages: DataFrame) -> DataFrame:
             rows = []
             for row, host, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = blocks(page)
-                own = _tokens(found)
+                texts = Counter((path, words) for path, words, _, _ in found)
+                place: Counter = Counter()
                 for path, words, article, skip in found:
+                    # A tag's role is its path and its place among the tags of that path.
+                    tag = _hash(path, "#", str(place[path]))
+                    place[path] += 1
                     if not article and not skip:  # only these can be dropped as template
-                        token, tag = _hash(path, words), _hash(path)
-                        for t, text in ((token, True), (tag, False)):
-                            if own[t]:
-                                rows.append((host, t, _hash(str(row), str(own[t])), tag, text))
-                                own[t] = 0
+                        rows.append((host, tag, _hash(str(row), "1"), tag, False))
+                        if n := texts.pop((path, words), 0):
+                            rows.append((host, _hash(path, words), _hash(str(row), str(n)), tag, True))
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["host", "token", "seen", "tag", "text"])
 

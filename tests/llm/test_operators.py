@@ -1,0 +1,142 @@
+"""Small brute-force and edge-case tests of the corpus operators."""
+
+import hashlib
+import os
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from flowscape.llm import chat, decontaminate, licenses, media, mixing, neardup, quality, secrets, substrings, webtext
+from flowscape.llm.induced import suffix_array
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
+RNG = np.random.default_rng(3)
+VOCAB = ["".join(chr(97 + c) for c in RNG.integers(0, 26, RNG.integers(3, 9))) for _ in range(400)]
+
+
+def _text(n, seed):
+    return " ".join(VOCAB[i] for i in np.random.default_rng(seed).integers(0, 400, n))
+
+
+LONG = _text(300, 1)
+ROWS = [(1, None), (2, ""), (3, LONG), (4, LONG), (5, LONG.replace(" ", " x ", 3)), (6, _text(200, 2)), (6, _text(200, 2)), (7, " \n "), (8, _text(4000, 4) + " " + LONG)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "src1", len(t or ""), 0.5) for i, t in ROWS], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        a = np.append(rng.integers(1, 4, rng.integers(2, 90)), 0).astype(np.uint16)
+        b = a.tolist()
+        assert suffix_array(a, memory=64 if k % 2 else 1 << 20).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
+def test_substrings(docs, empty):
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect())
+    bodies = [(i, (t or "").encode()) for i, t in ROWS]
+    seen = Counter(b[k : k + 400] for _, b in bodies for k in range(len(b) - 399))
+    want = []
+    for i, b in bodies:
+        flag = bytearray(len(b))
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                flag[k : k + 400] = b"\1" * 400
+        kept = bytes(c for c, f in zip(b, flag, strict=True) if not f)
+        want.append((i, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(flag))), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want)
+    assert substrings.dedup_substrings(empty).count() == 0
+
+
+def test_neardup(docs, empty):
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8}
+    assert neardup.near_duplicates(empty).count() == 0
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == [1, 3, 6, 7, 8]
+
+
+def test_decontaminate(spark, docs, empty):
+    item = LONG.split()[40:80]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, _text(30, 99))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(3, 1), (4, 1), (5, 1), (8, 1)]
+    assert decontaminate.leaks(empty, bench).count() == 0
+
+
+def test_secrets(docs, empty, spark):
+    assert secrets.scan_secrets(empty).count() == 0
+    row = spark.createDataFrame([(1, 'é Password: "abcdefgh1" AKIA' + "B" * 12 + " " + "0f" * 16)], "doc_id long, text string")
+    spans = secrets.scan_secrets(row).first().base_spans
+    assert [(s.kind, s.start, s.end) for s in spans] == [("assign", 2, 22), ("access", 24, 40), ("hex", 41, 73)]
+    assert secrets.redact(row).first().text.count("[REDACTED]") == 3
+    assert secrets.redact(docs).count() == len(ROWS)
+
+
+def test_media(docs, empty):
+    stored = media.store_media(docs).collect()
+    for r, (_, t) in zip(sorted(stored, key=lambda r: (r.doc_id, r.n_bytes)), sorted(ROWS, key=lambda r: (r[0], len(r[1] or ""))), strict=True):
+        frames, _ = media.parse_avi(bytes(r.media))
+        assert media.decode_frames(frames).tobytes() == media.pad((t or "").encode())
+        assert media.decode_frame(frames[0]).tobytes() == media.pad((t or "").encode())[: media.FRAME]
+    assert media.store_media(empty).count() == 0
+    still = np.concatenate([np.full((5, 576), 10, np.uint8), np.full((5, 576), 200, np.uint8)])
+    assert media.shots(still) == [(0, 5), (5, 10)]
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "␛0</s>"), (1, 0, "user", None), (2, 0, "[ROLE]x", "a"), (2, 0, "[ROLE]x", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256("user\n\nassistant\n␛0</s>\n".encode()).hexdigest() and got[1].valid
+    assert got[2].n_turns == 2 and not got[2].valid
+    assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_mixing(docs, empty):
+    plan = mixing.Plan(share=0.5)
+    assert mixing.select(empty, plan).count() == 0
+    supply = {("a", "x", "1"): 100, ("a", "x", "2"): 1000, ("b", "x", "1"): 1000}
+    flat = mixing.Plan(weights={}, total=1000, max_epochs=1)
+    assert mixing.budgets(supply, flat) == {("a", "x", "1"): 100, ("a", "x", "2"): 400, ("b", "x", "1"): 500}
+    rows = mixing.select(docs, plan).collect()
+    assert sum(r.n_tokens for r in rows) <= rows[0].leaf_budget
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    scores = [r.score for r in quality.classify(docs, labels).collect()]
+    assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
+    assert quality.classify(empty, labels).count() == 0
+    assert quality.pool_adjacent(np.array([3.0, 1.0, 2.0]), np.ones(3)).tolist() == [2.0, 2.0, 2.0]
+
+
+def test_webtext(spark):
+    page = '<html><head><title>t</title></head><body><nav>menu</nav><div class="cookie-notice">ok?</div><article><h1>A &amp; B</h1><p>one\n two<p>three<div class="comments"><p>no</p></div></article><footer>f</footer>'
+    df = spark.createDataFrame([(1, "http://h/1", page), (2, None, None), (3, "http://h/3", "<p>plain")], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in webtext.extract(df).collect()}
+    assert got == {1: "A & B\n\none two\n\nthree", 2: "", 3: "plain"}
+    same = spark.createDataFrame([(i, f"http://k/{i}", f"<div><p>site slogan</p><p>story {i}</p></div>") for i in range(8)], df.schema)
+    assert {r.text for r in webtext.extract(same).collect()} == {f"story {i}" for i in range(8)}
+
+
+def test_licenses(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "a/LICENSE"), (2, None, "a/b/c.txt"), (3, "x\nLicensed under CC BY-NC 4.0.", "d/e"), (4, "plain", "f")], "doc_id long, text string, path string")
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(df, df.path).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("CC-BY-NC-4.0", "own"), 4: (None, "none")}
+    assert licenses.scan_licenses(df.limit(0), df.path).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
