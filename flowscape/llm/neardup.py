@@ -12,13 +12,14 @@ are looked at.  Two texts agree in a coordinate with probability equal to their
 Jaccard similarity.
 
 Equal texts are one node (grouped by a 128-bit digest).  Nodes meet in ``BANDS`` bands of
-``ROWS`` coordinates.  A bucket is worked through in id order: a node joins the first leader
-whose signature agrees nearly everywhere, or becomes a leader itself; candidates are node and
-leader.  A bucket over ``LARGE`` nodes first gives the nodes close to its least id to that
-leader, and what remains is banded again by other coordinates, so no task gets an unbounded
-group, no pairs are enumerated and no node is left out.  Candidates are verified on the full
-shingle sets.  A node that joins no leader is compared with all that may be similar and with
-the best-agreeing of their members, so that a chain of links does not break at a leader.
+``ROWS`` coordinates.  Candidates come in rounds, each verified on the full shingle sets
+before the next: first every node with the best-agreeing least node of its buckets; then,
+only in buckets that still hold several components, every node with the members of other
+components that agree best, in the last round with some of every other component.  So a
+large group of near copies costs about a pair a node, and links between components are
+still looked for wherever two of their members share a bucket.  A bucket over ``LARGE``
+nodes first gives the nodes close to its least id to that node, and what remains is banded
+again by other coordinates, so no task gets an unbounded group.
 
 Null and empty texts are equal to each other and form one class; repeated rows get the same
 class; an id that appears with different texts gets a row and a class for each; empty tables
@@ -28,6 +29,7 @@ give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +46,12 @@ SIMILAR = 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 #: Agreements (of K) below which 0.8 is out of reach (under one in a million), and from
-#: which a node joins a leader without becoming one.
+#: which the least node of a large bucket stands for a node.
 MAYBE, JOIN = 44, 70
 LARGE = 2048
+#: Rounds of candidates: how many of each other component, and how many in all (0: no bound). The
+#: first round takes the least nodes of buckets only.
+ROUNDS = ((1, 1), (1, 2), (4, 0))
 #: Candidate pairs of one leader that share a verification task.
 SALT = 512
 
@@ -148,42 +153,41 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 _PAIRS = "a long, b long"
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """rows(bucket, node, short) of buckets of at most LARGE nodes -> candidate pairs (a, b = leader)."""
+def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
+    """rows(bucket, node, short, label) of buckets of at most LARGE nodes -> candidate pairs (a, b).
+
+    Each node looks back at the bucket's nodes of other labels that may be similar and takes the
+    ``each`` that agree best of every label, and of those the best ``most`` (0: all)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used, heads, out = None, 0, [], []
-        nodes, sigs, lead = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64)
+        now, used = None, 0
+        nodes, sigs, labels = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64)
         for batch in batches:
-            shorts = batch.column(2).to_pylist()
-            for bucket, node, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shorts, strict=True):
+            out = []
+            for bucket, node, short, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if bucket != now:
-                    now, used, heads = bucket, 0, []
-                own, mine = np.frombuffer(short, np.uint8), used
-                if used:
-                    same = (sigs[heads] == own).sum(axis=1)
-                    order = np.argsort(-same, kind="stable")
-                    near = [heads[i] for i in order if same[i] >= MAYBE]
-                    joined = same[order[0]] >= JOIN
-                    tries = near[:2] if joined else near
-                    if near and not joined:
-                        # The members of these leaders that agree best may link where the leaders fail.
-                        member = np.flatnonzero(np.isin(lead[:used], near))
-                        agree = (sigs[member] == own).sum(axis=1)
-                        tries = [*near, *member[np.argsort(-agree, kind="stable")[:2]].tolist()]
-                    out += [(node, int(nodes[i])) for i in dict.fromkeys(tries) if nodes[i] != node]
-                    mine = heads[order[0]] if joined else used
-                if mine == used:
-                    heads.append(used)
+                    now, used = bucket, 0
+                own = np.frombuffer(short, np.uint8)
+                other = np.flatnonzero(labels[:used] != label)
+                if len(other):
+                    same = (sigs[other] == own).sum(axis=1)
+                    near = np.flatnonzero(same >= MAYBE)
+                    near = near[np.argsort(-same[near], kind="stable")]
+                    taken: Counter = Counter()
+                    for i in other[near].tolist():
+                        taken[int(labels[i])] += 1
+                        if taken[int(labels[i])] <= each:
+                            out.append((node, int(nodes[i])))
+                            if most and taken.total() >= most:
+                                break
                 if used == len(nodes):
-                    nodes, lead, sigs = np.concatenate([nodes, nodes]), np.concatenate([lead, lead]), np.concatenate([sigs, sigs])
-                nodes[used], lead[used], sigs[used] = node, mine, own
+                    nodes, labels, sigs = np.concatenate([nodes, nodes]), np.concatenate([labels, labels]), np.concatenate([sigs, sigs])
+                nodes[used], labels[used], sigs[used] = node, label, own
                 used += 1
             columns = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-            out = []
 
-    return rows.select("bucket", "node", "short").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(work, _PAIRS)
+    return rows.select("bucket", "node", "short", "label").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(work, _PAIRS)
 
 
 def _agree(one: str, other: str):
@@ -195,35 +199,52 @@ def _agree(one: str, other: str):
 
 
 def _again(rows: DataFrame) -> DataFrame:
-    """Band the rows of a large bucket by three other coordinates: (bucket, node, short)."""
+    """Band the rows of a large bucket by three other coordinates: (bucket, node, short, label)."""
     n = K // 3
     keys = F.array(*[F.xxhash64("bucket", F.lit(i), F.substring("short", 3 * i + 1, 3)) for i in range(n)])
-    return rows.select(F.explode(keys).alias("bucket"), "node", "short")
+    return rows.select(F.explode(keys).alias("bucket"), "node", "short", "label")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes(node, short, bands) -> distinct candidate pairs (a, b)."""
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """nodes(node, short, bands) -> (bucket, node, short) of the buckets with two nodes or more."""
     placed = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    sizes = save(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1"), "near-buckets")
-    short = nodes.select("node", "short")
-    rows = save(placed.join(sizes, "bucket").join(short, "node"), "near-rows")
-    found = [_leaders(rows.where(F.col("size") <= LARGE))]
-    large = rows.where(F.col("size") > LARGE).select("bucket", "node", "short", "head")
+    shared = save(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "near-buckets")
+    return placed.join(shared, "bucket").join(nodes.select("node", "short"), "node").select("bucket", "node", "short")
+
+
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """Each node with the one of its buckets' least nodes that agrees best, if it may be similar."""
+    heads = rows.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("short").alias("top")), "node").alias("h")).select("bucket", "h.*")
+    seen = rows.join(heads, "bucket").where("node <> b").withColumn("same", _agree("short", "top")).where(F.col("same") >= MAYBE)
+    return seen.groupBy(F.col("node").alias("a")).agg(F.min_by("b", F.struct(-F.col("same"), F.col("b"))).alias("b"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets in which labels still differ, with the bucket's size and least node."""
+    facts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return rows.join(facts.select("bucket", "size", "head"), "bucket")
+
+
+def candidates(rows: DataFrame, labels: DataFrame, each: int, most: int) -> DataFrame:
+    """rows(bucket, node, short), labels(node, label) of what is linked so far -> distinct
+    pairs (a, b) of different labels.  Buckets whose nodes are all linked need no more work."""
+    named = rows.join(labels, "node", "left").select("bucket", "node", "short", F.coalesce("label", "node").alias("label"))
+    left = save(_open(named), "near-open")
+    found = [_best(left.where(F.col("size") <= LARGE), each, most)]
+    large = left.where(F.col("size") > LARGE)
     for depth in range(8):
         if large.limit(1).count() == 0:
             break
-        heads = large.where(F.col("node") == F.col("head")).select("bucket", F.col("short").alias("top"))
+        heads = large.where(F.col("node") == F.col("head")).select("bucket", F.col("short").alias("top"), F.col("label").alias("top_label"))
         seen = save(large.join(heads, "bucket").withColumn("same", _agree("short", "top")), "near-large")
-        found.append(seen.where((F.col("same") >= MAYBE) & (F.col("node") != F.col("head"))).select(F.col("node").alias("a"), F.col("head").alias("b")))
-        rest = seen.where(F.col("same") < JOIN).select("bucket", "node", "short")
+        found.append(seen.where((F.col("same") >= MAYBE) & (F.col("label") != F.col("top_label"))).select(F.col("node").alias("a"), F.col("head").alias("b")))
+        rest = seen.where(F.col("same") < JOIN).select("bucket", "node", "short", "label")
         # By three coordinates of one byte each; the first bucket's own key stays in the hash.
-        banded = _again(rest) if depth == 0 else rest
-        size = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1")
-        sized = save(banded.join(size, "bucket"), "near-again")
-        found.append(_leaders(sized.where(F.col("size") <= LARGE)))
-        large = sized.where(F.col("size") > LARGE).select("bucket", "node", "short", "head")
+        sized = save(_open(_again(rest) if depth == 0 else rest), "near-again")
+        found.append(_best(sized.where(F.col("size") <= LARGE), each, most))
+        large = sized.where(F.col("size") > LARGE)
     else:
-        found.append(_leaders(large))
+        found.append(_best(large, each, most))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -277,14 +298,17 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     the same text)."""
     signed = save(signatures(documents, key, text), "near-signed")
     nodes = save(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("short").alias("short"), F.first("bands").alias("bands")), "near-nodes")
-    pairs = save(candidates(nodes).where("a <> b"), "near-pairs")
-    members = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _packed(documents, key, text).join(members.hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
+    rows = save(shared_buckets(nodes), "near-rows")
+    texts = _packed(documents, key, text).join(rows.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
     texts = save(texts, "near-texts")
-    seen = save(verify(pairs, texts), "near-seen")
-    links = seen.where(F.col("sim") >= SIMILAR).select("a", "b")
-    labels = components(links)
+    links, labels = None, None
+    for each, most in ROUNDS:
+        pairs = save(first_pairs(rows) if labels is None else candidates(rows, labels, each, most), "near-pairs")
+        seen = save(verify(pairs, texts), "near-seen").where(F.col("sim") >= SIMILAR).select("a", "b")
+        links = seen if links is None else links.unionByName(seen)
+        labels = components(links)
     drop_saved(texts)
+    drop_saved(rows)
     named = nodes.join(labels, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))
     return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "copy_of")
 

@@ -65,6 +65,38 @@ def test_neardup(docs, empty):
     assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == [1, 3, 6, 7, 8]
 
 
+@pytest.mark.parametrize("large", [4, 2048])
+def test_neardup_classes_equal_brute_force(spark, monkeypatch, large):
+    """Groups of edited copies, close to the limit of 0.8, against all pairs."""
+    monkeypatch.setattr(neardup, "LARGE", large)
+    rng, rows = np.random.default_rng(8), []
+    for g in range(4):
+        base = _text(120, 50 + g).split()
+        for k in range(25):
+            words = list(base)
+            for at in rng.integers(0, len(words), 1 + k % 4):
+                words[at] = f"edit{rng.integers(1000)}"
+            rows.append((100 * g + k, " ".join(words)))
+    bags = {}
+    for i, t in rows:
+        w = t.split()
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    root = {i: i for i in bags}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in bags:
+        for b in bags:
+            if a < b and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: top(i) for i in bags}
+
+
 def test_decontaminate(spark, docs, empty):
     item = LONG.split()[40:80]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, _text(30, 99))], "item_id long, text string")
