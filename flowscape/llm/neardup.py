@@ -49,9 +49,8 @@ K = BANDS * ROWS
 #: which the least node of a large bucket stands for a node.
 MAYBE, JOIN = 44, 70
 LARGE = 2048
-#: Rounds of candidates: how many of each other component, and how many in all (0: no bound). The
-#: first round takes the least nodes of buckets only.
-ROUNDS = ((1, 1), (1, 2), (4, 0))
+#: Rounds of candidates after the first: how many of each other component, how many in all (0: no bound).
+ROUNDS = ((1, 2), (4, 0))
 #: Candidate pairs of one leader that share a verification task.
 SALT = 512
 
@@ -293,6 +292,27 @@ def _packed(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).cast("long").alias("node"), clean_text(text).alias("text")).mapInArrow(pack, "node long, packed binary")
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """links(a, b < a), one a node at most -> (node, label): an ancestor, the root if it is within four steps."""
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")))
+    labels = labels.groupBy("node").agg(F.min("label").alias("label"))
+    for _ in range(2):
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = save(labels.join(far, "label").select("node", F.col("far").alias("label")), "near-roots")
+    return labels
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label) with the labels that new links(a, b) connect made one."""
+    named = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias("l" + side))
+    edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = save(components(edges), "near-merged")
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).withColumn("label", F.col("node"))
+    every = labels.unionByName(ends).groupBy("node").agg(F.min("label").alias("label"))
+    far = merged.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    return save(every.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "near-labels")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, class_id (least id of its class), copy_of (least id with
     the same text)."""
@@ -301,12 +321,16 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     rows = save(shared_buckets(nodes), "near-rows")
     texts = _packed(documents, key, text).join(rows.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
     texts = save(texts, "near-texts")
-    links, labels = None, None
+    def linked(pairs: DataFrame) -> DataFrame:
+        return save(verify(save(pairs, "near-pairs"), texts), "near-seen").where(F.col("sim") >= SIMILAR).select("a", "b")
+
+    links = linked(first_pairs(rows))
+    labels = save(_roots(links), "near-roots")
     for each, most in ROUNDS:
-        pairs = save(first_pairs(rows) if labels is None else candidates(rows, labels, each, most), "near-pairs")
-        seen = save(verify(pairs, texts), "near-seen").where(F.col("sim") >= SIMILAR).select("a", "b")
-        links = seen if links is None else links.unionByName(seen)
-        labels = components(links)
+        fresh = linked(candidates(rows, labels, each, most))
+        if fresh.limit(1).count() == 0:
+            continue
+        labels = _joined(labels, fresh)
     drop_saved(texts)
     drop_saved(rows)
     named = nodes.join(labels, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))
