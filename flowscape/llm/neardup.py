@@ -49,7 +49,7 @@ K = BANDS * ROWS
 #: which the least node of a large bucket stands for a node.
 MAYBE, JOIN = 44, 70
 LARGE = 2048
-#: Rounds of candidates after the first: how many of each other component, how many in all (0: no bound).
+#: Rounds of candidates after the first: how many pairs of two components, how many tries of a node (0: no bound).
 ROUNDS = ((1, 2), (4, 0))
 #: Candidate pairs of one leader that share a verification task.
 SALT = 512
@@ -155,16 +155,25 @@ _PAIRS = "a long, b long"
 def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
     """rows(bucket, node, short, label) of buckets of at most LARGE nodes -> candidate pairs (a, b).
 
-    Each node looks back at the bucket's nodes of other labels that may be similar and takes the
-    ``each`` that agree best of every label, and of those the best ``most`` (0: all)."""
+    Each node looks back at the bucket's nodes of other labels that may be similar, at the
+    ``most`` that agree best (0: all); of these, each two labels keep their ``each`` best pairs, so
+    a bucket gives pairs by its labels, not by its nodes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used = None, 0
+        now, used, kept = None, 0, {}
         nodes, sigs, labels = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            out = [(a, b) for pairs in kept.values() for _, a, b in pairs]
+            kept.clear()
+            columns = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
         for batch in batches:
-            out = []
             for bucket, node, short, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if bucket != now:
+                    if kept:
+                        yield flush()
                     now, used = bucket, 0
                 own = np.frombuffer(short, np.uint8)
                 other = np.flatnonzero(labels[:used] != label)
@@ -173,18 +182,19 @@ def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
                     near = np.flatnonzero(same >= MAYBE)
                     near = near[np.argsort(-same[near], kind="stable")]
                     taken: Counter = Counter()
-                    for i in other[near].tolist():
-                        taken[int(labels[i])] += 1
-                        if taken[int(labels[i])] <= each:
-                            out.append((node, int(nodes[i])))
-                            if most and taken.total() >= most:
-                                break
+                    for i in near[: most or None].tolist():
+                        there = int(labels[other[i]])
+                        taken[there] += 1
+                        if taken[there] <= each:
+                            pairs = kept.setdefault((min(label, there), max(label, there)), [])
+                            pairs.append((-int(same[i]), node, int(nodes[other[i]])))
+                            pairs.sort()
+                            del pairs[each:]
                 if used == len(nodes):
                     nodes, labels, sigs = np.concatenate([nodes, nodes]), np.concatenate([labels, labels]), np.concatenate([sigs, sigs])
                 nodes[used], labels[used], sigs[used] = node, label, own
                 used += 1
-            columns = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+        yield flush()
 
     return rows.select("bucket", "node", "short", "label").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(work, _PAIRS)
 
