@@ -14,10 +14,10 @@ Jaccard similarity.
 Equal texts are one node (grouped by a 128-bit digest).  Nodes meet in ``BANDS`` bands of
 ``ROWS`` coordinates.  Candidates come in rounds, each verified on the full shingle sets
 before the next: first every node with the best-agreeing least node of its buckets; then,
-only in buckets that still hold several components, every node with the members of other
-components that agree best, in the last round with some of every other component.  So a
-large group of near copies costs about a pair a node, and links between components are
-still looked for wherever two of their members share a bucket.  A bucket over ``LARGE``
+only in buckets that still hold several components, the best-agreeing pairs of each two
+components that were not verified before, more of them each round, until a round has left
+none out.  So a large group of near copies costs about a pair a node, while two components
+that stay apart have had every pair that shares a bucket and may be similar verified.  A bucket over ``LARGE``
 nodes first gives the nodes close to its least id to that node, and what remains is banded
 again by other coordinates, so no task gets an unbounded group.
 
@@ -50,7 +50,9 @@ K = BANDS * ROWS
 MAYBE, JOIN = 44, 70
 LARGE = 2048
 #: Rounds of candidates after the first: how many pairs of two components, how many tries of a node (0: no bound).
+#: After these, the pairs grow by ``MORE`` a round until none is left out.
 ROUNDS = ((1, 2), (4, 0))
+MORE = 8
 #: Candidate pairs of one leader that share a verification task.
 SALT = 512
 
@@ -149,47 +151,53 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return documents.select(F.col(key).cast("long").alias("doc_id"), clean_text(text).alias("text")).mapInArrow(sign, _SIGNED)
 
 
-_PAIRS = "a long, b long"
+_PAIRS = "a long, b long, more boolean"
 
 
 def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
-    """rows(bucket, node, short, label) of buckets of at most LARGE nodes -> candidate pairs (a, b).
+    """rows(bucket, node, short, label) of buckets of at most LARGE nodes -> candidate pairs (a, b, more).
 
     Each node looks back at the bucket's nodes of other labels that may be similar, at the
     ``most`` that agree best (0: all); of these, each two labels keep their ``each`` best pairs, so
-    a bucket gives pairs by its labels, not by its nodes."""
+    a bucket gives pairs by its labels, not by its nodes.  ``more`` marks the pairs of a bucket
+    that left others out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used, kept = None, 0, {}
+        now, used, kept, cut = None, 0, {}, False
         nodes, sigs, labels = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64)
 
         def flush() -> pa.RecordBatch:
-            out = [(a, b) for pairs in kept.values() for _, a, b in pairs]
+            over = cut or any(len(pairs) > each for pairs in kept.values())
+            out = [(a, b, over) for pairs in kept.values() for _, a, b in sorted(pairs)[:each]]
             kept.clear()
-            columns = zip(*out, strict=True) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
 
         for batch in batches:
             for bucket, node, short, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if bucket != now:
                     if kept:
                         yield flush()
-                    now, used = bucket, 0
+                    now, used, cut = bucket, 0, False
                 own = np.frombuffer(short, np.uint8)
                 other = np.flatnonzero(labels[:used] != label)
                 if len(other):
                     same = (sigs[other] == own).sum(axis=1)
                     near = np.flatnonzero(same >= MAYBE)
                     near = near[np.argsort(-same[near], kind="stable")]
+                    cut = cut or 0 < most < len(near)
                     taken: Counter = Counter()
                     for i in near[: most or None].tolist():
                         there = int(labels[other[i]])
                         taken[there] += 1
+                        cut = cut or taken[there] > each
                         if taken[there] <= each:
                             pairs = kept.setdefault((min(label, there), max(label, there)), [])
                             pairs.append((-int(same[i]), node, int(nodes[other[i]])))
-                            pairs.sort()
-                            del pairs[each:]
+                            if len(pairs) > 2 * each:
+                                pairs.sort()
+                                del pairs[each:]
+                                cut = True
                 if used == len(nodes):
                     nodes, labels, sigs = np.concatenate([nodes, nodes]), np.concatenate([labels, labels]), np.concatenate([sigs, sigs])
                 nodes[used], labels[used], sigs[used] = node, label, own
@@ -236,7 +244,7 @@ def _open(rows: DataFrame) -> DataFrame:
 
 def candidates(rows: DataFrame, labels: DataFrame, each: int, most: int) -> DataFrame:
     """rows(bucket, node, short), labels(node, label) of what is linked so far -> distinct
-    pairs (a, b) of different labels.  Buckets whose nodes are all linked need no more work."""
+    pairs (a, b, more) of different labels.  Buckets whose nodes are all linked need no more work."""
     named = rows.join(labels, "node", "left").select("bucket", "node", "short", F.coalesce("label", "node").alias("label"))
     left = save(_open(named), "near-open")
     found = [_best(left.where(F.col("size") <= LARGE), each, most)]
@@ -246,7 +254,7 @@ def candidates(rows: DataFrame, labels: DataFrame, each: int, most: int) -> Data
             break
         heads = large.where(F.col("node") == F.col("head")).select("bucket", F.col("short").alias("top"), F.col("label").alias("top_label"))
         seen = save(large.join(heads, "bucket").withColumn("same", _agree("short", "top")), "near-large")
-        found.append(seen.where((F.col("same") >= MAYBE) & (F.col("label") != F.col("top_label"))).select(F.col("node").alias("a"), F.col("head").alias("b")))
+        found.append(seen.where((F.col("same") >= MAYBE) & (F.col("label") != F.col("top_label"))).select(F.col("node").alias("a"), F.col("head").alias("b"), F.lit(False).alias("more")))
         rest = seen.where(F.col("same") < JOIN).select("bucket", "node", "short", "label")
         # By three coordinates of one byte each; the first bucket's own key stays in the hash.
         sized = save(_open(_again(rest) if depth == 0 else rest), "near-again")
@@ -257,7 +265,7 @@ def candidates(rows: DataFrame, labels: DataFrame, each: int, most: int) -> Data
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.distinct()
+    return out.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -331,16 +339,29 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     rows = save(shared_buckets(nodes), "near-rows")
     texts = _packed(documents, key, text).join(rows.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
     texts = save(texts, "near-texts")
+    done: list[DataFrame] = []
+
     def linked(pairs: DataFrame) -> DataFrame:
-        return save(verify(save(pairs, "near-pairs"), texts), "near-seen").where(F.col("sim") >= SIMILAR).select("a", "b")
+        done.append(save(verify(pairs, texts), "near-seen"))
+        return done[-1].where(F.col("sim") >= SIMILAR).select("a", "b")
 
-    links = linked(first_pairs(rows))
+    links = linked(save(first_pairs(rows), "near-pairs"))
     labels = save(_roots(links), "near-roots")
-    for each, most in ROUNDS:
-        fresh = linked(candidates(rows, labels, each, most))
-        if fresh.limit(1).count() == 0:
-            continue
-        labels = _joined(labels, fresh)
+    turn, (each, most) = 0, ROUNDS[0]
+    while True:
+        found = save(candidates(rows, labels, each, most), "near-pairs")
+        fresh = found.select("a", "b")
+        for seen in done:
+            # A pair may come back the other way round.
+            both = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            fresh = fresh.join(both, ["a", "b"], "left_anti")
+        fresh = linked(save(fresh, "near-pairs"))
+        if fresh.limit(1).count():
+            labels = _joined(labels, fresh)
+        if not found.where("more").limit(1).count():
+            break  # all pairs that share a bucket and had two labels are verified
+        turn += 1
+        each, most = ROUNDS[turn] if turn < len(ROUNDS) else (each * MORE, 0)
     drop_saved(texts)
     drop_saved(rows)
     named = nodes.join(labels, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))

@@ -97,6 +97,34 @@ def test_neardup_classes_equal_brute_force(spark, monkeypatch, large):
     assert got == {i: top(i) for i in bags}
 
 
+def test_neardup_tries_every_pair_of_two_components(spark, monkeypatch):
+    """Two groups whose best-agreeing pairs fail; only the fifth pair links them."""
+    ids = {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10}
+    short = lambda i: bytes([1] * neardup.K) if i < 9 else bytes([1] * (64 - i % 10) + [2] * (16 + i % 10))
+    rows = spark.createDataFrame([(7, i, bytearray(short(i))) for i in ids], "bucket long, node long, short binary")
+    labels = spark.createDataFrame(list(ids.items()), "node long, label long")
+    few = neardup.candidates(rows, labels, 4, 0).collect()
+    assert len(few) == 4 and all(r.more for r in few)
+    every = neardup.candidates(rows, labels, 32, 0).collect()
+    assert len(every) == 25 and not any(r.more for r in every)
+
+    # The whole loop: each pair of two components that stay apart is verified once.
+    tried = []
+    nodes = spark.createDataFrame([(i, bytearray([i]), bytearray(short(i)), [7]) for i in ids], "doc_id long, digest binary, short binary, bands array<long>")
+    monkeypatch.setattr(neardup, "signatures", lambda *_: nodes)
+
+    def verify(pairs, texts):
+        got = [(r.a, r.b) for r in pairs.collect()]
+        tried.extend(got)
+        sims = [(a, b, 0.9 if ids[a] == ids[b] or {a, b} == {4, 14} else 0.7) for a, b in got]
+        return spark.createDataFrame(sims, "a long, b long, sim double")
+
+    monkeypatch.setattr(neardup, "verify", verify)
+    docs = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    assert {r.class_id for r in neardup.near_duplicates(docs).collect()} == {0}
+    assert len({frozenset(p) for p in tried}) == len(tried)
+
+
 def test_decontaminate(spark, docs, empty):
     item = LONG.split()[40:80]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, _text(30, 99))], "item_id long, text string")
