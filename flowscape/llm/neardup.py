@@ -18,8 +18,8 @@ only in buckets that still hold several components, the best-agreeing pairs of e
 components that were not verified before, more of them each round, until a round has left
 none out.  So a large group of near copies costs about a pair a node, while two components
 that stay apart have had every pair that shares a bucket and may be similar verified.  A bucket over ``LARGE``
-nodes first gives the nodes close to its least id to that node, and what remains is banded
-again by other coordinates, so no task gets an unbounded group.
+nodes is dealt in blocks, and each two blocks that may hold two components are compared by
+a group of their own: no task gets an unbounded group, and no node stands for another.
 
 Null and empty texts are equal to each other and form one class; repeated rows get the same
 class; an id that appears with different texts gets a row and a class for each; empty tables
@@ -45,9 +45,8 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-#: Agreements (of K) below which 0.8 is out of reach (under one in a million), and from
-#: which the least node of a large bucket stands for a node.
-MAYBE, JOIN = 44, 70
+#: Agreements (of K) below which 0.8 is out of reach (under one in a million).
+MAYBE = 44
 LARGE = 2048
 #: Rounds of candidates after the first: how many pairs of two components, how many tries of a node (0: no bound).
 #: After these, the pairs grow by ``MORE`` a round until none is left out.
@@ -151,20 +150,21 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return documents.select(F.col(key).cast("long").alias("doc_id"), clean_text(text).alias("text")).mapInArrow(sign, _SIGNED)
 
 
+WITHIN = 2
 _PAIRS = "a long, b long, more boolean"
 
 
 def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
-    """rows(bucket, node, short, label) of buckets of at most LARGE nodes -> candidate pairs (a, b, more).
+    """rows(bucket, node, short, label, side) of buckets of at most LARGE nodes -> candidate pairs (a, b, more).
 
     Each node looks back at the bucket's nodes of other labels that may be similar, at the
     ``most`` that agree best (0: all); of these, each two labels keep their ``each`` best pairs, so
     a bucket gives pairs by its labels, not by its nodes.  ``more`` marks the pairs of a bucket
-    that left others out."""
+    that left others out.  Nodes of side 0 are compared with side 1 only, those of ``WITHIN`` with all."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used, kept, cut = None, 0, {}, False
-        nodes, sigs, labels = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64)
+        nodes, sigs, labels, sides = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64), np.zeros(64, np.int64)
 
         def flush() -> pa.RecordBatch:
             over = cut or any(len(pairs) > each for pairs in kept.values())
@@ -174,13 +174,13 @@ def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
 
         for batch in batches:
-            for bucket, node, short, label in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for bucket, node, short, label, side in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if bucket != now:
                     if kept:
                         yield flush()
                     now, used, cut = bucket, 0, False
                 own = np.frombuffer(short, np.uint8)
-                other = np.flatnonzero(labels[:used] != label)
+                other = np.flatnonzero((labels[:used] != label) & ((sides[:used] != side) | (side == WITHIN)))
                 if len(other):
                     same = (sigs[other] == own).sum(axis=1)
                     near = np.flatnonzero(same >= MAYBE)
@@ -199,12 +199,12 @@ def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
                                 del pairs[each:]
                                 cut = True
                 if used == len(nodes):
-                    nodes, labels, sigs = np.concatenate([nodes, nodes]), np.concatenate([labels, labels]), np.concatenate([sigs, sigs])
-                nodes[used], labels[used], sigs[used] = node, label, own
+                    nodes, labels, sides, sigs = (np.concatenate([x, x]) for x in (nodes, labels, sides, sigs))
+                nodes[used], labels[used], sides[used], sigs[used] = node, label, side, own
                 used += 1
         yield flush()
 
-    return rows.select("bucket", "node", "short", "label").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(work, _PAIRS)
+    return rows.select("bucket", "node", "short", "label", "side").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(work, _PAIRS)
 
 
 def _agree(one: str, other: str):
@@ -215,11 +215,24 @@ def _agree(one: str, other: str):
     return parts[0]
 
 
-def _again(rows: DataFrame) -> DataFrame:
-    """Band the rows of a large bucket by three other coordinates: (bucket, node, short, label)."""
-    n = K // 3
-    keys = F.array(*[F.xxhash64("bucket", F.lit(i), F.substring("short", 3 * i + 1, 3)) for i in range(n)])
-    return rows.select(F.explode(keys).alias("bucket"), "node", "short", "label")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows(bucket, node, short, label, size) of large buckets -> (bucket, node, short, label, side).
+
+    The nodes of a bucket's commonest label and the others are dealt in blocks; each two blocks
+    are a bucket of their own, but for two of the commonest label, which hold no pair."""
+    half = max(1, LARGE // 2)
+    counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"))
+    both = rows.join(top, "bucket").withColumn("tops", F.ceil(F.col("n_top") / half).cast("int")).withColumn("rests", F.ceil((F.col("size") - F.col("n_top")) / half).cast("int"))
+    common = F.col("label") == F.col("top")
+    both = both.withColumn("own", F.pmod(F.xxhash64("node"), F.when(common, F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    own, upto = F.col("own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    across = F.transform(upto("tops"), lambda m: place(0, own, m, F.lit(1)))
+    among = F.transform(upto("rests"), lambda r: place(1, F.least(own, r), F.greatest(own, r), F.when(r == own, WITHIN).when(own < r, 0).otherwise(1)))
+    places = F.when(common, F.transform(upto("rests"), lambda r: place(0, r, own, F.lit(0)))).otherwise(F.concat(across, among))
+    spread = both.select("bucket", "node", "short", "label", F.explode(places).alias("p"))
+    return spread.select(F.xxhash64("bucket", "p.kind", "p.i", "p.j").alias("bucket"), "node", "short", "label", F.col("p.side").alias("side"))
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -237,9 +250,9 @@ def first_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets in which labels still differ, with the bucket's size and least node."""
-    facts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return rows.join(facts.select("bucket", "size", "head"), "bucket")
+    """The rows of buckets in which labels still differ, with the bucket's size."""
+    facts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return rows.join(facts.select("bucket", "size"), "bucket")
 
 
 def candidates(rows: DataFrame, labels: DataFrame, each: int, most: int) -> DataFrame:
@@ -247,24 +260,10 @@ def candidates(rows: DataFrame, labels: DataFrame, each: int, most: int) -> Data
     pairs (a, b, more) of different labels.  Buckets whose nodes are all linked need no more work."""
     named = rows.join(labels, "node", "left").select("bucket", "node", "short", F.coalesce("label", "node").alias("label"))
     left = save(_open(named), "near-open")
-    found = [_best(left.where(F.col("size") <= LARGE), each, most)]
+    out = _best(left.where(F.col("size") <= LARGE).withColumn("side", F.lit(WITHIN)), each, most)
     large = left.where(F.col("size") > LARGE)
-    for depth in range(8):
-        if large.limit(1).count() == 0:
-            break
-        heads = large.where(F.col("node") == F.col("head")).select("bucket", F.col("short").alias("top"), F.col("label").alias("top_label"))
-        seen = save(large.join(heads, "bucket").withColumn("same", _agree("short", "top")), "near-large")
-        found.append(seen.where((F.col("same") >= MAYBE) & (F.col("label") != F.col("top_label"))).select(F.col("node").alias("a"), F.col("head").alias("b"), F.lit(False).alias("more")))
-        rest = seen.where(F.col("same") < JOIN).select("bucket", "node", "short", "label")
-        # By three coordinates of one byte each; the first bucket's own key stays in the hash.
-        sized = save(_open(_again(rest) if depth == 0 else rest), "near-again")
-        found.append(_best(sized.where(F.col("size") <= LARGE), each, most))
-        large = sized.where(F.col("size") > LARGE)
-    else:
-        found.append(_best(large, each, most))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    if large.limit(1).count():
+        out = out.unionByName(_best(_dealt(large), each, most))
     return out.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 

@@ -125,6 +125,21 @@ def test_neardup_tries_every_pair_of_two_components(spark, monkeypatch):
     assert len({frozenset(p) for p in tried}) == len(tried)
 
 
+def test_neardup_large_bucket_gives_the_pairs_of_a_small_one(spark, monkeypatch):
+    """Node 1 is close to the least node 0 and alone is similar to node 30."""
+    short = lambda i: bytes([1] * 72 + [i] * 8) if i < 30 else bytes([9] * (36 if i == 30 else 20) + [1] * 36 + [1] * 8)[: neardup.K].ljust(neardup.K, b"\1")
+    label = {i: 0 if i < 20 else i for i in range(34)}
+    rows = spark.createDataFrame([(7, i, bytearray(short(i))) for i in label], "bucket long, node long, short binary")
+    labels = spark.createDataFrame(list(label.items()), "node long, label long")
+    same = lambda a, b: sum(x == y for x, y in zip(short(a), short(b), strict=True))
+    want = {(a, b) for a in label for b in range(a) if label[a] != label[b] and same(a, b) >= neardup.MAYBE}
+    assert (30, 1) in want and (30, 0) not in want
+    for large in (4, 2048):
+        monkeypatch.setattr(neardup, "LARGE", large)
+        got = [(max(r.a, r.b), min(r.a, r.b)) for r in neardup.candidates(rows, labels, 1000, 0).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_decontaminate(spark, docs, empty):
     item = LONG.split()[40:80]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, _text(30, 99))], "item_id long, text string")
