@@ -1,12 +1,14 @@
 """Suffix order of a byte shard by external induced sorting, worked in arrays.
 
 Suffixes fall into L and S types; the leftmost S suffixes of each run are named by their
-substrings, the names are renamed in growing blocks until each suffix is told apart (the recursion),
+substrings, the names are renamed in growing blocks until each suffix is told apart (in place of recursion),
 and the order of all others is induced: buckets of the leading character are priority
 queues drained in character order, each popped block of suffixes pushing its predecessors into
 their own buckets.  Queues keep a bounded number of bytes in memory and spill the rest to
-files, read back first in, first out; the text can be a memory map.  So only the blocks being
-moved and the names of the reduced string (a third of the shard, or less) are in memory.
+files, read back first in, first out; the text can be a memory map.  The reduced string's names are
+ranked by doubling.  The types, the ranks and the sorted output (a position a suffix) stay in
+memory, so a shard must fit there with its suffix array; the queues bound only what is being moved.
+The callers' anchors keep shards at a few MB.
 """
 
 from __future__ import annotations
