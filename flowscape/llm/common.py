@@ -24,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
+        # One machine runs everything: its own temporary folder is shared.
         if not getattr(spark, "_flowscape_dir", None):
             spark._flowscape_dir = "file://" + tempfile.mkdtemp(prefix="flowscape-")
         found = spark._flowscape_dir
@@ -94,21 +97,68 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 #: One random 64-bit value per byte, so that the rolling sums have no structure.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
+#: Bytes of a text that are hashed at a time; the arrays of a step grow with this, not with the text.
+PIECE = 1 << 16
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = ~_SPACE
+_SAME = np.arange(256, dtype=np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _long_hash(raw: np.ndarray) -> np.uint64:
+    """The rolling sum of one word longer than PIECE, piece by piece."""
+    total, step = 0, pow(int(ROLL), PIECE, 2**64)
+    shift = 1
+    for a in range(0, len(raw), PIECE):
+        part = raw[a : a + PIECE]
+        total += shift * int((BYTES[part] * powers(PIECE)[0][: len(part)]).sum(dtype=np.uint64))
+        shift = shift * step % 2**64
+    return np.uint64(total % 2**64)
+
+
+def run_hashes(data: bytes, member: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the longest runs of ``member`` bytes (folded by ``fold``) with start and
+    end offsets.  A text of any length is read in pieces; a run may be longer than a piece."""
+    every = np.frombuffer(data, np.uint8)
+    hashes, starts, ends, at = [], [], [], 0
+    while at < len(every):
+        stop = min(at + PIECE, len(every))
+        if stop < len(every):
+            # End behind the last gap of the piece, or else behind the run that fills it.
+            gaps = np.flatnonzero(~member[every[at:stop]])
+            if len(gaps):
+                stop = at + int(gaps[-1]) + 1
+            else:
+                while stop < len(every):
+                    ahead = np.flatnonzero(~member[every[stop : stop + PIECE]])
+                    if len(ahead):
+                        stop += int(ahead[0])
+                        break
+                    stop = min(stop + PIECE, len(every))
+        raw = every[at:stop]
+        if len(raw) > PIECE:
+            hashes.append(np.array([_long_hash(fold[raw])], np.uint64))
+            starts.append(np.array([at]))
+            ends.append(np.array([stop]))
+        else:
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], member[raw], [False])).astype(np.int8)))
+            a, b = edge[0::2], edge[1::2]
+            if len(a):
+                up, down = powers(PIECE + 1)
+                total = np.zeros(len(raw) + 1, np.uint64)
+                np.cumsum(BYTES[fold[raw]] * up[: len(raw)], out=total[1:])
+                hashes.append((total[b] - total[a]) * down[a])
+                starts.append(a + at)
+                ends.append(b + at)
+        at = stop
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return mix(np.concatenate(hashes)), np.concatenate(starts), np.concatenate(ends)
+
+
 def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the white-space separated words of UTF-8 bytes, with start and end offsets."""
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTES[_LOWER[raw] if lower else raw] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start, end
+    return run_hashes(data, _WORD, _LOWER if lower else _SAME)

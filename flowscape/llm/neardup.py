@@ -11,25 +11,29 @@ equal elements get equal darts in all texts, and only ranks that a text of its w
 are looked at.  Two texts agree in a coordinate with probability equal to their weighted
 Jaccard similarity.
 
-Equal texts are one node (grouped by a 128-bit digest).  Nodes meet in ``BANDS`` bands of
-``ROWS`` coordinates.  Candidates come in rounds, each verified on the full shingle sets
-before the next: first every node with the best-agreeing least node of its buckets; then,
-only in buckets that still hold several components, the best-agreeing pairs of each two
-components that were not verified before, more of them each round, until a round has left
-none out.  So a large group of near copies costs about a pair a node, while two components
-that stay apart have had every pair that shares a bucket and may be similar verified.  A bucket over ``LARGE``
-nodes is dealt in blocks, and each two blocks that may hold two components are compared by
-a group of their own: no task gets an unbounded group, and no node stands for another.
+Equal texts are one node, numbered by a 64-bit digest of the text (among ten billion distinct texts
+about three pairs would share a number).  Nodes meet in ``BANDS`` bands of ``ROWS`` coordinates.
+
+1. Each node is verified with the least node of its buckets that agrees best.  So the bulk of a large group
+   of near copies hangs together after one comparison a node.
+2. In a bucket that still holds several components, every pair of two components whose signatures
+   may be similar is verified on the full shingle sets, inside the task that holds the bucket; the
+   task merges components as it goes and puts out the links that merged them, fewer than the
+   bucket has nodes.  A pair is left to the first bucket it shares.  After this one pass each pair that shares a bucket is either
+   connected or known to be under 0.8: there is no cap, and no node stands for another.
+3. A bucket of over ``LARGE`` nodes or ``BYTES`` of text is dealt in blocks and each two blocks that
+   may hold two components are a task's group of their own, so no task gets an unbounded group.
 
 Null and empty texts are equal to each other and form one class; repeated rows get the same
-class; an id that appears with different texts gets a row and a class for each; empty tables
-give empty results; extra columns are ignored.
+class; an id that appears with different texts gets a row and a class for each.  class_id and copy_of are the
+least id of the class and of the equal texts that is not null; class_key tells classes apart where all ids
+are null.  Texts of any length are read in pieces of 64 KB; a task holds the shingles (8 bytes a word) of two blocks.  Empty
+tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +51,8 @@ BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 #: Agreements (of K) below which 0.8 is out of reach (under one in a million).
 MAYBE = 44
-LARGE = 2048
-#: Rounds of candidates after the first: how many pairs of two components, how many tries of a node (0: no bound).
-#: After these, the pairs grow by ``MORE`` a round until none is left out.
-ROUNDS = ((1, 2), (4, 0))
-MORE = 8
+#: Nodes and bytes of text of one group in a task.
+LARGE, BYTES = 4096, 8 << 20
 #: Candidate pairs of one leader that share a verification task.
 SALT = 512
 
@@ -124,19 +125,24 @@ def signature(items: np.ndarray, weights: np.ndarray, k: int = K) -> np.ndarray:
         limit *= 2
 
 
-_SIGNED = "doc_id long, digest binary, short binary, bands array<long>"
+_SIGNED = "doc_id long, row long, node long, short binary, bands array<long>, n_bytes long"
 
 
-def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, digest of the text, one byte a coordinate, and band keys (null without words)."""
+def _node(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
+
+
+def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text", row=None) -> DataFrame:
+    """doc_id, row (as given), number of the text, one byte a coordinate, band keys (null without words), bytes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = mix(np.arange(11, 11 + ROWS, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            digests, shorts, bands = [], [], []
-            for v in batch.column(1):
+            nodes, shorts, bands, sizes = [], [], [], []
+            for v in batch.column(2):
                 data = v.as_buffer().to_pybytes()
-                digests.append(hashlib.blake2b(data, digest_size=16).digest())
+                nodes.append(_node(data))
+                sizes.append(len(data))
                 items, counts = shingles(data)
                 if len(items):
                     own = signature(items, counts.astype(float))
@@ -145,66 +151,9 @@ def signatures(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
                 else:
                     shorts.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(shorts, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "short", "bands"])
-
-    return documents.select(F.col(key).cast("long").alias("doc_id"), clean_text(text).alias("text")).mapInArrow(sign, _SIGNED)
-
-
-WITHIN = 2
-_PAIRS = "a long, b long, more boolean"
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(shorts, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], names=["doc_id", "row", "node", "short", "bands", "n_bytes"])
 
-
-def _best(rows: DataFrame, each: int, most: int) -> DataFrame:
-    """rows(bucket, node, short, label, side) of buckets of at most LARGE nodes -> candidate pairs (a, b, more).
-
-    Each node looks back at the bucket's nodes of other labels that may be similar, at the
-    ``most`` that agree best (0: all); of these, each two labels keep their ``each`` best pairs, so
-    a bucket gives pairs by its labels, not by its nodes.  ``more`` marks the pairs of a bucket
-    that left others out.  Nodes of side 0 are compared with side 1 only, those of ``WITHIN`` with all."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used, kept, cut = None, 0, {}, False
-        nodes, sigs, labels, sides = np.zeros(64, np.int64), np.zeros((64, K), np.uint8), np.zeros(64, np.int64), np.zeros(64, np.int64)
-
-        def flush() -> pa.RecordBatch:
-            over = cut or any(len(pairs) > each for pairs in kept.values())
-            out = [(a, b, over) for pairs in kept.values() for _, a, b in sorted(pairs)[:each]]
-            kept.clear()
-            columns = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "more"])
-
-        for batch in batches:
-            for bucket, node, short, label, side in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if bucket != now:
-                    if kept:
-                        yield flush()
-                    now, used, cut = bucket, 0, False
-                own = np.frombuffer(short, np.uint8)
-                other = np.flatnonzero((labels[:used] != label) & ((sides[:used] != side) | (side == WITHIN)))
-                if len(other):
-                    same = (sigs[other] == own).sum(axis=1)
-                    near = np.flatnonzero(same >= MAYBE)
-                    near = near[np.argsort(-same[near], kind="stable")]
-                    cut = cut or 0 < most < len(near)
-                    taken: Counter = Counter()
-                    for i in near[: most or None].tolist():
-                        there = int(labels[other[i]])
-                        taken[there] += 1
-                        cut = cut or taken[there] > each
-                        if taken[there] <= each:
-                            pairs = kept.setdefault((min(label, there), max(label, there)), [])
-                            pairs.append((-int(same[i]), node, int(nodes[other[i]])))
-                            if len(pairs) > 2 * each:
-                                pairs.sort()
-                                del pairs[each:]
-                                cut = True
-                if used == len(nodes):
-                    nodes, labels, sides, sigs = (np.concatenate([x, x]) for x in (nodes, labels, sides, sigs))
-                nodes[used], labels[used], sides[used], sigs[used] = node, label, side, own
-                used += 1
-        yield flush()
-
-    return rows.select("bucket", "node", "short", "label", "side").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(work, _PAIRS)
+    return documents.select(F.col(key).cast("long").alias("doc_id"), (F.lit(0).cast("long") if row is None else row).alias("row"), clean_text(text).alias("text")).mapInArrow(sign, _SIGNED)
 
 
 def _agree(one: str, other: str):
@@ -215,56 +164,152 @@ def _agree(one: str, other: str):
     return parts[0]
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """rows(bucket, node, short, label, size) of large buckets -> (bucket, node, short, label, side).
-
-    The nodes of a bucket's commonest label and the others are dealt in blocks; each two blocks
-    are a bucket of their own, but for two of the commonest label, which hold no pair."""
-    half = max(1, LARGE // 2)
-    counts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n_top"))
-    both = rows.join(top, "bucket").withColumn("tops", F.ceil(F.col("n_top") / half).cast("int")).withColumn("rests", F.ceil((F.col("size") - F.col("n_top")) / half).cast("int"))
-    common = F.col("label") == F.col("top")
-    both = both.withColumn("own", F.pmod(F.xxhash64("node"), F.when(common, F.col("tops")).otherwise(F.col("rests"))).cast("int"))
-    own, upto = F.col("own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    across = F.transform(upto("tops"), lambda m: place(0, own, m, F.lit(1)))
-    among = F.transform(upto("rests"), lambda r: place(1, F.least(own, r), F.greatest(own, r), F.when(r == own, WITHIN).when(own < r, 0).otherwise(1)))
-    places = F.when(common, F.transform(upto("rests"), lambda r: place(0, r, own, F.lit(0)))).otherwise(F.concat(across, among))
-    spread = both.select("bucket", "node", "short", "label", F.explode(places).alias("p"))
-    return spread.select(F.xxhash64("bucket", "p.kind", "p.i", "p.j").alias("bucket"), "node", "short", "label", F.col("p.side").alias("side"))
-
-
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """nodes(node, short, bands) -> (bucket, node, short) of the buckets with two nodes or more."""
-    placed = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    shared = save(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket"), "near-buckets")
-    return placed.join(shared, "bucket").join(nodes.select("node", "short"), "node").select("bucket", "node", "short")
+    """nodes(node, short, bands, n_bytes) -> (bucket, band, node, short, n_bytes, head) of the buckets
+    with two nodes or more; head is the bucket's least node."""
+    placed = nodes.where(F.col("bands").isNotNull()).select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = save(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").select("bucket", "head"), "near-buckets")
+    rows = placed.join(shared, "bucket").join(nodes.select("node", "short", "n_bytes"), "node")
+    rows = save(rows.select("bucket", "band", "node", "short", "n_bytes", "head"), "near-rows")
+    drop_saved(shared)
+    return rows
 
 
 def first_pairs(rows: DataFrame) -> DataFrame:
     """Each node with the one of its buckets' least nodes that agrees best, if it may be similar."""
-    heads = rows.groupBy("bucket").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("short").alias("top")), "node").alias("h")).select("bucket", "h.*")
-    seen = rows.join(heads, "bucket").where("node <> b").withColumn("same", _agree("short", "top")).where(F.col("same") >= MAYBE)
-    return seen.groupBy(F.col("node").alias("a")).agg(F.min_by("b", F.struct(-F.col("same"), F.col("b"))).alias("b"))
+    tops = save(rows.where("node = head").select("bucket", F.col("short").alias("top")), "near-heads")
+    seen = rows.where("node <> head").join(tops, "bucket").withColumn("same", _agree("short", "top")).where(F.col("same") >= MAYBE)
+    return seen.groupBy(F.col("node").alias("a")).agg(F.min_by("head", F.struct(-F.col("same"), F.col("head"))).alias("b"))
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets in which labels still differ, with the bucket's size."""
-    facts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return rows.join(facts.select("bucket", "size"), "bucket")
+WITHIN = 2
+
+
+def _dealt(rows: DataFrame, most: int, size: int) -> DataFrame:
+    """rows(bucket, band, node, short, n_bytes, label) -> the same with ``group`` and ``side`` in place of
+    bucket: groups of about ``most`` nodes and ``size`` bytes at the most.
+
+    Buckets with one label are left out.  The nodes of a large bucket's commonest label and the others
+    are dealt in blocks; each two blocks are a group, but for two of the commonest label, which
+    hold no pair.  Nodes of side 0 are compared with side 1 only, those of ``WITHIN`` with all."""
+    load = F.lit(1.0 / most) + F.col("n_bytes") / F.lit(float(size))
+    counts = save(rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(load).alias("load")), "near-counts")
+    top = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.max_by("load", F.struct("n", "label")).alias("top_load"), F.sum("load").alias("load"), F.count(F.lit(1)).alias("kinds"))
+    half = lambda x: F.greatest(F.lit(1), F.ceil(2 * F.col(x))).cast("int")
+    top = top.where("kinds > 1").withColumn("rest_load", F.col("load") - F.col("top_load"))
+    top = save(top.select("bucket", F.col("top.label").alias("top"), "load", half("top_load").alias("tops"), half("rest_load").alias("rests")), "near-tops")
+    both = rows.join(top, "bucket")
+    common, large = F.col("label") == F.col("top"), F.col("load") > 1
+    both = both.withColumn("own", F.pmod(F.xxhash64("node"), F.when(common, F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    own, upto = F.col("own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    across = F.transform(upto("tops"), lambda m: place(0, own, m, F.lit(1)))
+    among = F.transform(upto("rests"), lambda r: place(1, F.least(own, r), F.greatest(own, r), F.when(r == own, WITHIN).when(own < r, 0).otherwise(1)))
+    whole = F.array(place(2, F.lit(0), F.lit(0), F.lit(WITHIN)))
+    places = F.when(~large, whole).when(common, F.transform(upto("rests"), lambda r: place(0, r, own, F.lit(0)))).otherwise(F.concat(across, among))
+    spread = both.select("bucket", "band", "node", "short", "n_bytes", "label", F.explode(places).alias("p"))
+    return spread.select(F.xxhash64("bucket", "p.kind", "p.i", "p.j").alias("group"), F.col("p.side").alias("side"), "bucket", "band", "node", "short", "label")
+
+
+class _Group:
+    """The nodes of one group, and which pairs of them are for this group to compare."""
+
+    def __init__(self, rows: list):
+        # rows: (side, band, node, short, label)
+        self.sides = np.array([r[0] for r in rows])
+        self.band = rows[0][1]
+        self.nodes = [r[2] for r in rows]
+        self.short = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), K)
+        self.words = np.ascontiguousarray(self.short).view(np.uint32)  # a word a band
+        self.labels = np.unique([r[4] for r in rows], return_inverse=True)[1]
+
+    def others(self, i: int, root: np.ndarray) -> np.ndarray:
+        """Earlier nodes of another component that may be similar to node i."""
+        of = np.flatnonzero((root[self.labels[:i]] != root[self.labels[i]]) & ((self.sides[:i] != self.sides[i]) | (self.sides[i] == WITHIN)))
+        if len(of):
+            of = of[(self.short[of] == self.short[i]).sum(axis=1) >= MAYBE]
+        if len(of) and self.band:
+            # The first band in which all four coordinates agree is the pair's own.
+            of = of[~(self.words[of, : self.band] == self.words[i, : self.band]).any(axis=1)]
+        return of
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list]:
+    """Rows (without the group) of each group; the input is sorted by group."""
+    now, held = None, []
+    for batch in batches:
+        for group, *row in zip(*(batch.column(i).to_pylist() for i in range(width + 1)), strict=True):
+            if group != now and held:
+                yield held
+                held = []
+            now = group
+            held.append(row)
+    if held:
+        yield held
+
+
+def _maybe(rows: DataFrame) -> DataFrame:
+    """Dealt rows -> distinct (bucket, node) that have a pair to verify there."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_group(batches, 6):
+            group = _Group(held)
+            root, hit = np.arange(group.labels.max() + 1), np.zeros(len(held), bool)
+            for i in range(1, len(held)):
+                of = group.others(i, root)
+                hit[of] = True
+                hit[i] |= len(of) > 0
+            found = np.flatnonzero(hit).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([held[i][5] for i in found], pa.int64()), pa.array([held[i][2] for i in found], pa.int64())], names=["bucket", "node"])
+
+    dealt = rows.select("group", "side", "band", "node", "short", "label", "bucket").repartition("group").sortWithinPartitions("group", "node")
+    return dealt.mapInArrow(work, "bucket long, node long").distinct()
+
+
+def _similar(bags: tuple, i: int, of: np.ndarray) -> np.ndarray:
+    """Exact similarity of bag i with the bags ``of``; bags are (ids, counts, offsets, sums, scratch)."""
+    ids, counts, offset, weight, mark = bags
+    own = slice(offset[i], offset[i + 1])
+    mark[ids[own]] = counts[own]
+    if 3 * len(of) > len(offset):
+        shared = np.add.reduceat(np.minimum(mark[ids], counts), offset[:-1])[of]
+    else:
+        n = offset[of + 1] - offset[of]
+        at = np.arange(n.sum()) + np.repeat(offset[of] - (np.cumsum(n) - n), n)
+        shared = np.add.reduceat(np.minimum(mark[ids[at]], counts[at]), np.cumsum(n) - n)
+    mark[ids[own]] = 0
+    return shared / (weight[i] + weight[of] - shared)
+
+
+def _links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Dealt rows, texts(node, packed) -> (a, b): verified links that join the components of a group."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for held in _by_group(batches, 6):
+            group = _Group(held)
+            sets = [shingles(open_.decompress(r[5])) for r in held]
+            offset = np.cumsum([0, *(len(s[0]) for s in sets)])
+            known, ids = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+            counts = np.concatenate([s[1] for s in sets])
+            bags = (ids, counts, offset, np.add.reduceat(counts, offset[:-1]), np.zeros(len(known), np.int64))
+            del sets
+            root, out = np.arange(group.labels.max() + 1), []
+            for i in range(1, len(held)):
+                of = group.others(i, root)
+                if not len(of):
+                    continue
+                for j in of[_similar(bags, i, of) >= SIMILAR].tolist():
+                    one, two = root[group.labels[i]], root[group.labels[j]]
+                    if one != two:
+                        root[root == two] = one
+                        out.append((group.nodes[i], group.nodes[j]))
+                if (root == root[0]).all():
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def candidates(rows: DataFrame, labels: DataFrame, each: int, most: int) -> DataFrame:
-    """rows(bucket, node, short), labels(node, label) of what is linked so far -> distinct
-    pairs (a, b, more) of different labels.  Buckets whose nodes are all linked need no more work."""
-    named = rows.join(labels, "node", "left").select("bucket", "node", "short", F.coalesce("label", "node").alias("label"))
-    left = save(_open(named), "near-open")
-    out = _best(left.where(F.col("size") <= LARGE).withColumn("side", F.lit(WITHIN)), each, most)
-    large = left.where(F.col("size") > LARGE)
-    if large.limit(1).count():
-        out = out.unionByName(_best(_dealt(large), each, most))
-    return out.groupBy("a", "b").agg(F.max("more").alias("more"))
+    whole = rows.join(texts, "node").select("group", "side", "band", "node", "short", "label", "packed")
+    return whole.repartition("group").sortWithinPartitions("group", "node").mapInArrow(work, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -298,22 +343,23 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long, sim double")
 
 
-def _packed(documents: DataFrame, key: str, text: str) -> DataFrame:
+def _packed(documents: DataFrame, text: str) -> DataFrame:
     """node and its zstd-packed text, so that joins move a third of the bytes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([close.compress(v.as_buffer().to_pybytes()) for v in batch.column(1)], pa.binary())], names=["node", "packed"])
+            bodies = [v.as_buffer().to_pybytes() for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(b) for b in bodies], pa.int64()), pa.array([close.compress(b) for b in bodies], pa.binary())], names=["node", "packed"])
 
-    return documents.select(F.col(key).cast("long").alias("node"), clean_text(text).alias("text")).mapInArrow(pack, "node long, packed binary")
+    return documents.select(clean_text(text).alias("text")).mapInArrow(pack, "node long, packed binary")
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    """links(a, b < a), one a node at most -> (node, label): an ancestor, the root if it is within four steps."""
+    """links(a, b < a), one a node at most -> (node, label): an ancestor, the root if it is within eight steps."""
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")))
-    labels = labels.groupBy("node").agg(F.min("label").alias("label"))
-    for _ in range(2):
+    labels = save(labels.groupBy("node").agg(F.min("label").alias("label")), "near-roots")
+    for _ in range(3):
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         labels = save(labels.join(far, "label").select("node", F.col("far").alias("label")), "near-roots")
     return labels
@@ -325,53 +371,60 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     merged = save(components(edges), "near-merged")
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).withColumn("label", F.col("node"))
-    every = labels.unionByName(ends).groupBy("node").agg(F.min("label").alias("label"))
+    every = save(labels.unionByName(ends).groupBy("node").agg(F.min_by("label", F.when(F.col("label") == F.col("node"), 1).otherwise(0)).alias("label")), "near-every")
     far = merged.select(F.col("node").alias("label"), F.col("label").alias("far"))
     return save(every.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "near-labels")
 
 
+def classes(nodes: DataFrame, packed: DataFrame) -> DataFrame:
+    """nodes(node, short, bands, n_bytes), packed(node, packed) -> (node, label) of the linked nodes."""
+    rows = shared_buckets(nodes)
+    wanted = rows.select("node").distinct()
+    texts = save(packed.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed")), "near-texts")
+    pairs = save(first_pairs(rows), "near-pairs")
+    first = save(verify(pairs, texts).where(F.col("sim") >= SIMILAR).select("a", "b"), "near-links")
+    labels = _roots(first)
+    named = save(rows.join(labels, "node", "left").select("bucket", "band", "node", "short", "n_bytes", F.coalesce("label", "node").alias("label")), "near-named")
+    drop_saved(rows)
+    able = save(_maybe(_dealt(named, LARGE, 1 << 60)), "near-able")
+    left = save(named.join(able, ["bucket", "node"]), "near-open")
+    drop_saved(named)
+    links = save(_links(_dealt(left, LARGE, BYTES), texts), "near-links")
+    drop_saved(left)
+    drop_saved(texts)
+    return _joined(labels, links) if links.limit(1).count() else labels
+
+
+def _assigned(documents: DataFrame, key: str, text: str, row=None) -> DataFrame:
+    """doc_id, row, node, copy_of, class_key, class_id of each document."""
+    signed = save(signatures(documents, key, text, row), "near-signed")
+    nodes = save(signed.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.first("short").alias("short"), F.first("bands").alias("bands"), F.min("n_bytes").alias("n_bytes")), "near-nodes")
+    labels = classes(nodes, _packed(documents, text))
+    named = save(nodes.join(labels, "node", "left").select("node", "copy_of", F.coalesce("label", "node").alias("class_key")), "near-named")
+    ids = save(named.groupBy("class_key").agg(F.min("copy_of").alias("class_id")), "near-ids")
+    of = save(named.join(ids, "class_key"), "near-classes")
+    return signed.select("doc_id", "row", "node").join(of, "node")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, class_id (least id of its class), copy_of (least id with
-    the same text)."""
-    signed = save(signatures(documents, key, text), "near-signed")
-    nodes = save(signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("short").alias("short"), F.first("bands").alias("bands")), "near-nodes")
-    rows = save(shared_buckets(nodes), "near-rows")
-    texts = _packed(documents, key, text).join(rows.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("packed").alias("packed"))
-    texts = save(texts, "near-texts")
-    done: list[DataFrame] = []
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        done.append(save(verify(pairs, texts), "near-seen"))
-        return done[-1].where(F.col("sim") >= SIMILAR).select("a", "b")
-
-    links = linked(save(first_pairs(rows), "near-pairs"))
-    labels = save(_roots(links), "near-roots")
-    turn, (each, most) = 0, ROUNDS[0]
-    while True:
-        found = save(candidates(rows, labels, each, most), "near-pairs")
-        fresh = found.select("a", "b")
-        for seen in done:
-            # A pair may come back the other way round.
-            both = seen.select("a", "b").unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            fresh = fresh.join(both, ["a", "b"], "left_anti")
-        fresh = linked(save(fresh, "near-pairs"))
-        if fresh.limit(1).count():
-            labels = _joined(labels, fresh)
-        if not found.where("more").limit(1).count():
-            break  # all pairs that share a bucket and had two labels are verified
-        turn += 1
-        each, most = ROUNDS[turn] if turn < len(ROUNDS) else (each * MORE, 0)
-    drop_saved(texts)
-    drop_saved(rows)
-    named = nodes.join(labels, "node", "left").select("digest", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"))
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "copy_of")
+    the same text), class_key (number of the class)."""
+    return _assigned(documents, key, text).select("doc_id", "class_id", "copy_of", "class_key")
 
 
 def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without all but one of each class (the least id; of repeated rows with it, one)."""
-    found = near_duplicates(documents, key, text)
-    kept = found.where(F.col(key) == F.col("class_id")).select(key).distinct()
-    return documents.join(kept, key, "left_semi").dropDuplicates([key])
+    """The documents without all but one row of each class: the row with the least id that is not null; of
+    several rows with that id, the one whose columns have the least hash, and of equal rows one.  A class
+    whose ids are all null keeps a row as well."""
+    row = F.xxhash64(*documents.columns)
+    found = _assigned(documents, key, text, row).groupBy("class_key", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    best = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "n")).alias("b"))
+    # An id and the hash of a row tell rows apart that are not equal.
+    best = save(best.select(F.col("b.row").alias("_row"), F.coalesce("b.doc_id", F.lit(0)).alias("_id"), F.col("b.n").alias("_n")), "near-best")
+    told = documents.withColumn("_row", row).withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(0)))
+    once = told.join(best.where("_n = 1"), ["_row", "_id"], "left_semi")
+    several = told.join(best.where("_n > 1"), ["_row", "_id"], "left_semi").dropDuplicates(["_row", "_id"])
+    return once.unionByName(several).select(*documents.columns)
 
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:

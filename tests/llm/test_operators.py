@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from flowscape.llm import chat, decontaminate, licenses, media, mixing, neardup, quality, secrets, substrings, webtext
+from flowscape.llm import chat, decontaminate, licenses, media, mixing, quality, secrets, substrings, webtext
 from flowscape.llm.induced import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -58,88 +58,6 @@ def test_substrings(docs, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
-def test_neardup(docs, empty):
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7, 8: 8}
-    assert neardup.near_duplicates(empty).count() == 0
-    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == [1, 3, 6, 7, 8]
-
-
-@pytest.mark.parametrize("large", [4, 2048])
-def test_neardup_classes_equal_brute_force(spark, monkeypatch, large):
-    """Groups of edited copies, close to the limit of 0.8, against all pairs."""
-    monkeypatch.setattr(neardup, "LARGE", large)
-    rng, rows = np.random.default_rng(8), []
-    for g in range(4):
-        base = _text(120, 50 + g).split()
-        for k in range(25):
-            words = list(base)
-            for at in rng.integers(0, len(words), 1 + k % 4):
-                words[at] = f"edit{rng.integers(1000)}"
-            rows.append((100 * g + k, " ".join(words)))
-    bags = {}
-    for i, t in rows:
-        w = t.split()
-        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-    root = {i: i for i in bags}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in bags:
-        for b in bags:
-            if a < b and sum((bags[a] & bags[b]).values()) >= 0.8 * sum((bags[a] | bags[b]).values()):
-                x, y = sorted((top(a), top(b)))
-                root[y] = x
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: top(i) for i in bags}
-
-
-def test_neardup_tries_every_pair_of_two_components(spark, monkeypatch):
-    """Two groups whose best-agreeing pairs fail; only the fifth pair links them."""
-    ids = {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10}
-    short = lambda i: bytes([1] * neardup.K) if i < 9 else bytes([1] * (64 - i % 10) + [2] * (16 + i % 10))
-    rows = spark.createDataFrame([(7, i, bytearray(short(i))) for i in ids], "bucket long, node long, short binary")
-    labels = spark.createDataFrame(list(ids.items()), "node long, label long")
-    few = neardup.candidates(rows, labels, 4, 0).collect()
-    assert len(few) == 4 and all(r.more for r in few)
-    every = neardup.candidates(rows, labels, 32, 0).collect()
-    assert len(every) == 25 and not any(r.more for r in every)
-
-    # The whole loop: each pair of two components that stay apart is verified once.
-    tried = []
-    nodes = spark.createDataFrame([(i, bytearray([i]), bytearray(short(i)), [7]) for i in ids], "doc_id long, digest binary, short binary, bands array<long>")
-    monkeypatch.setattr(neardup, "signatures", lambda *_: nodes)
-
-    def verify(pairs, texts):
-        got = [(r.a, r.b) for r in pairs.collect()]
-        tried.extend(got)
-        sims = [(a, b, 0.9 if ids[a] == ids[b] or {a, b} == {4, 14} else 0.7) for a, b in got]
-        return spark.createDataFrame(sims, "a long, b long, sim double")
-
-    monkeypatch.setattr(neardup, "verify", verify)
-    docs = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
-    assert {r.class_id for r in neardup.near_duplicates(docs).collect()} == {0}
-    assert len({frozenset(p) for p in tried}) == len(tried)
-
-
-def test_neardup_large_bucket_gives_the_pairs_of_a_small_one(spark, monkeypatch):
-    """Node 1 is close to the least node 0 and alone is similar to node 30."""
-    short = lambda i: bytes([1] * 72 + [i] * 8) if i < 30 else bytes([9] * (36 if i == 30 else 20) + [1] * 36 + [1] * 8)[: neardup.K].ljust(neardup.K, b"\1")
-    label = {i: 0 if i < 20 else i for i in range(34)}
-    rows = spark.createDataFrame([(7, i, bytearray(short(i))) for i in label], "bucket long, node long, short binary")
-    labels = spark.createDataFrame(list(label.items()), "node long, label long")
-    same = lambda a, b: sum(x == y for x, y in zip(short(a), short(b), strict=True))
-    want = {(a, b) for a in label for b in range(a) if label[a] != label[b] and same(a, b) >= neardup.MAYBE}
-    assert (30, 1) in want and (30, 0) not in want
-    for large in (4, 2048):
-        monkeypatch.setattr(neardup, "LARGE", large)
-        got = [(max(r.a, r.b), min(r.a, r.b)) for r in neardup.candidates(rows, labels, 1000, 0).collect()]
-        assert sorted(got) == sorted(want)
-
-
 def test_decontaminate(spark, docs, empty):
     item = LONG.split()[40:80]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, _text(30, 99))], "item_id long, text string")
