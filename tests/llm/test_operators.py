@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from flowscape.llm import chat, decontaminate, licenses, media, mixing, quality, secrets, substrings, webtext
+from flowscape.llm import chat, licenses, media, mixing, quality, secrets, substrings, webtext
 from flowscape.llm.induced import suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -58,36 +58,6 @@ def test_substrings(docs, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
-def test_decontaminate(spark, docs, empty):
-    item = LONG.split()[40:80]
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, _text(30, 99))], "item_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(3, 1), (4, 1), (5, 1), (8, 1)]
-    assert decontaminate.leaks(empty, bench).count() == 0
-
-
-def test_decontaminate_finds_every_item_of_a_large_benchmark(spark):
-    """1,000 items, each copied into a long text, and edited in its rarest words in another."""
-    rng = np.random.default_rng(12)
-    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(6000)]
-    weight = 1 / np.arange(20, 6020)
-    draw = lambda n: [words[i] for i in rng.choice(6000, n, p=weight / weight.sum())]
-    items = [draw(n) for n in rng.integers(15, 60, 1000)]
-    place = {w: i for i, w in enumerate(words)}
-    rows, want = [], set()
-    for d in range(100):
-        copy, edited = draw(60), draw(60)
-        for k in range(10 * d, 10 * d + 10):
-            copy += items[k] + draw(60)
-            n = len(items[k])
-            change = set(sorted(range(3 * n // 4), key=lambda p: -place[items[k][p]])[: n // 4])
-            edited += [w + "zz" if p in change else w for p, w in enumerate(items[k])] + draw(60)
-            want |= {(d, k), (100 + d, k)}
-        rows += [(d, " ".join(copy)), (100 + d, " ".join(edited))]
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert got == want
-
-
 def test_secrets(docs, empty, spark):
     assert secrets.scan_secrets(empty).count() == 0
     row = spark.createDataFrame([(1, 'é Password: "abcdefgh1" AKIA' + "B" * 12 + " " + "0f" * 16)], "doc_id long, text string")
