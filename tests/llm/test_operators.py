@@ -2,14 +2,11 @@
 
 import hashlib
 import os
-import re
-from collections import Counter
 
 import numpy as np
 import pytest
 
-from flowscape.llm import chat, licenses, media, mixing, quality, secrets, substrings, webtext
-from flowscape.llm.induced import suffix_array
+from flowscape.llm import chat, licenses, media, mixing, quality, secrets, webtext
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
 RNG = np.random.default_rng(3)
@@ -34,30 +31,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_suffix_array():
-    rng = np.random.default_rng(1)
-    for k in range(60):
-        a = np.append(rng.integers(1, 4, rng.integers(2, 90)), 0).astype(np.uint16)
-        b = a.tolist()
-        assert suffix_array(a, memory=64 if k % 2 else 1 << 20).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
-
-
-def test_substrings(docs, empty):
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect())
-    bodies = [(i, (t or "").encode()) for i, t in ROWS]
-    seen = Counter(b[k : k + 400] for _, b in bodies for k in range(len(b) - 399))
-    want = []
-    for i, b in bodies:
-        flag = bytearray(len(b))
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
-                flag[k : k + 400] = b"\1" * 400
-        kept = bytes(c for c, f in zip(b, flag, strict=True) if not f)
-        want.append((i, len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(flag))), hashlib.sha256(kept).hexdigest()))
-    assert got == sorted(want)
-    assert substrings.dedup_substrings(empty).count() == 0
-
-
 def test_secrets(docs, empty, spark):
     assert secrets.scan_secrets(empty).count() == 0
     row = spark.createDataFrame([(1, 'é Password: "abcdefgh1" AKIA' + "B" * 12 + " " + "0f" * 16)], "doc_id long, text string")
