@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from flowscape.llm import chat, licenses, media, mixing, quality, secrets, webtext
+from flowscape.llm import chat, media, mixing, quality, secrets, webtext
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
 RNG = np.random.default_rng(3)
@@ -87,13 +87,6 @@ def test_webtext(spark):
     assert {r.text for r in webtext.extract(same).collect()} == {f"story {i}" for i in range(8)}
 
 
-def test_licenses(spark):
-    df = spark.createDataFrame([(1, "Released under the MIT License.", "a/LICENSE"), (2, None, "a/b/c.txt"), (3, "x\nLicensed under CC BY-NC 4.0.", "d/e"), (4, "plain", "f")], "doc_id long, text string, path string")
-    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan_licenses(df, df.path).collect()}
-    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("CC-BY-NC-4.0", "own"), 4: (None, "none")}
-    assert licenses.scan_licenses(df.limit(0), df.path).count() == 0
-
-
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline
