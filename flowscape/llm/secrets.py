@@ -35,7 +35,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 
 #: What can't be a secret although it looks random: placeholders, UUIDs, one character repeated.
-ALLOW = r"(?i)(example|sample|changeme|placeholder|lorem|dummy)|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^(.)\2+$"
+ALLOW = r"(?i)(example|sample|changeme|placeholder|lorem|dummy)|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^(.)\3+$"
 #: Candidate runs; only those with a letter and a digit are scored.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Class -> (pattern the whole candidate fits, bits per character that make it suspicious).
@@ -140,20 +140,25 @@ def entropy_spans(text: Column, window: int = WINDOW, classes=CLASSES, allow: st
     return F.when(text.rlike("[0-9]") & text.rlike(CANDIDATE), F.filter(found, suspicious)).otherwise(empty)
 
 
-def scan_secrets(documents: DataFrame, text: str = "text", window: int = WINDOW, allow: str = ALLOW) -> DataFrame:
-    """documents plus ``secret_spans`` (base and entropy) and ``base_spans``, both arrays of
-    struct(start, end, kind, text) in code points, end exclusive, sorted by start, then kind."""
+def scan_secrets(documents: DataFrame, text: str = "text", window: int = WINDOW, allow: str = ALLOW, base: str = "base_spans", spans: str = "secret_spans") -> DataFrame:
+    """documents plus ``spans`` (base and entropy) and ``base``, both arrays of
+    struct(start, end, kind, text) in code points, end exclusive, sorted by start, then kind.  A column that
+    has one of these names already is an error: give another name."""
+    if taken := {base.lower(), spans.lower()} & {c.lower() for c in documents.columns}:
+        raise ValueError(f"columns exist: {sorted(taken)}")
     body = clean_text(text)
     order = lambda spans: F.transform(
         F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, (*KINDS, "entropy"))), s["kind"]).alias("k"), s["end"], s["kind"], s["text"]))),
         lambda s: F.struct(s["start"], s["end"], s["kind"], s["text"]),
     )
-    return documents.withColumn("base_spans", order(base_spans(body))).withColumn("secret_spans", order(F.concat(F.col("base_spans"), entropy_spans(body, window, allow=allow))))
+    return documents.withColumn(base, order(base_spans(body))).withColumn(spans, order(F.concat(F.col(base), entropy_spans(body, window, allow=allow))))
 
 
 def redact(documents: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """Replace every span by a mark; overlapping spans become one.  Other columns stay."""
-    scanned = scan_secrets(documents, text)
+    fresh = "_" * (1 + max((len(c) for c in documents.columns), default=0))  # longer than any name there is
+    base, spans = fresh + "base", fresh + "spans"
+    scanned = scan_secrets(documents, text, base=base, spans=spans)
     body = clean_text(text)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -164,9 +169,8 @@ def redact(documents: DataFrame, text: str = "text", mark: str = "[REDACTED]") -
             F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"),
         )
 
-    done = F.aggregate(F.col("secret_spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    out = scanned.withColumn(text, F.when(F.size("secret_spans") > 0, done).otherwise(F.col(text)))
-    return out.drop("base_spans", "secret_spans")
+    done = F.aggregate(F.col(spans), zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(F.col(text))).drop(base, spans)
 
 
 def _digest(spans: Column) -> Column:
