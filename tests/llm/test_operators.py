@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from flowscape.llm import chat, media, mixing, quality, secrets, webtext
+from flowscape.llm import chat, media, mixing, quality, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
 RNG = np.random.default_rng(3)
@@ -78,15 +78,6 @@ def test_quality(spark, docs, empty):
     assert quality.pool_adjacent(np.array([3.0, 1.0, 2.0]), np.ones(3)).tolist() == [2.0, 2.0, 2.0]
 
 
-def test_webtext(spark):
-    page = '<html><head><title>t</title></head><body><nav>menu</nav><div class="cookie-notice">ok?</div><article><h1>A &amp; B</h1><p>one\n two<p>three<div class="comments"><p>no</p></div></article><footer>f</footer>'
-    df = spark.createDataFrame([(1, "http://h/1", page), (2, None, None), (3, "http://h/3", "<p>plain")], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in webtext.extract(df).collect()}
-    assert got == {1: "A & B\n\none two\n\nthree", 2: "", 3: "plain"}
-    same = spark.createDataFrame([(i, f"http://k/{i}", f"<div><p>site slogan</p><p>story {i}</p></div>") for i in range(8)], df.schema)
-    assert {r.text for r in webtext.extract(same).collect()} == {f"story {i}" for i in range(8)}
-
-
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline
