@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from flowscape.plans import catalog
+from flowscape.plans import registry
 
 HEADLINE = ["flow_patterns", "flows_timeout", "scan_windows", "flow_labels", "membership_native", "flow_length_quantiles", "ecdf_exact", "tuple_context"]
 
@@ -16,7 +16,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    queries, took = catalog.queries(), {}
+    queries, took = registry.queries(), {}
     queries["flow_patterns"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # compile once
     for name in HEADLINE:
         began = time.time()

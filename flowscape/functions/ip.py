@@ -1,4 +1,4 @@
-"""IPv4 expressions: dotted quads as integers, masks, prefixes."""
+"""Address expressions: dotted quads as integers, both versions packed, masks, prefixes."""
 
 from __future__ import annotations
 
@@ -24,3 +24,48 @@ def dotted(ip: Column) -> Column:
 
 def cidr(net: Column, length: Column) -> Column:
     return F.concat(dotted(net), F.lit("/"), length.cast("string"))
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value) with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def packed(ip: Column) -> Column:
+    """Hexadecimal digits of the address bytes, 8 for IPv4 and 32 for IPv6; null for anything else.
+    Texts of one version compare as their bytes do."""
+
+    def spelled(low: Column) -> Column:
+        # A dotted tail stands for the last two groups.
+        four = ip4(F.regexp_extract(low, r":([0-9.]+)$", 1))
+        groups = lambda x: F.concat(F.regexp_replace(low, r"[0-9.]+$", ""), F.hex(F.shiftright(x, 16)), F.lit(":"), F.hex(F.pmod(x, F.lit(65536))))
+        return F.when(F.contains(low, F.lit(".")), F.lower(_bind(four, groups))).otherwise(low)
+
+    def halves(text: Column) -> Column:
+        return F.transform(F.split(text, "::", -1), lambda h: F.filter(F.split(h, ":"), lambda g: g != ""))
+
+    def six(text: Column) -> Column:
+        fits = text.rlike("^[0-9a-f:]+$") & ~text.rlike("[0-9a-f]{5}|:::|^:[^:]|[^:]:$")
+        return F.when(fits, _bind(halves(text), whole))
+
+    def whole(parts: Column) -> Column:
+        def filled(n: Column) -> Column:
+            zeros = F.array_repeat(F.lit("0"), F.when(F.size(parts) == 2, 8 - n).otherwise(0))
+            full = F.when(F.size(parts) == 2, F.concat(F.get(parts, F.lit(0)), zeros, F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(0)))
+            able = ((F.size(parts) == 2) & (n <= 7)) | ((F.size(parts) == 1) & (n == 8))
+            return F.when(able, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
+
+        return _bind(F.size(F.flatten(parts)), filled)
+
+    both = lambda low: F.when(F.contains(low, F.lit(":")), _bind(spelled(low), six)).otherwise(F.lpad(F.lower(F.hex(ip4(low))), 8, "0"))
+    return _bind(F.lower(F.trim(ip)), both)
+
+
+def version(ip: Column) -> Column:
+    """4, 6 or null."""
+    return _bind(F.length(packed(ip)), lambda n: F.when(n == 8, 4).when(n == 32, 6))
+
+
+def capacity(length: Column) -> Column:
+    """Addresses of an IPv4 prefix."""
+    return F.pow(F.lit(2.0), 32 - length).cast("long")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ip import ip4
+from ..functions.ip import ip4, packed
 
 KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "protocol"]
 SYN, ACK, RST = 2, 16, 4
@@ -20,10 +20,19 @@ def _has(bit: int) -> Column:
 
 
 def with_key(packets: DataFrame) -> DataFrame:
-    """Direction-independent key: endpoints ordered by (address, port)."""
+    """Direction-independent key: endpoints ordered by (address bytes, port), for both IP versions.
+    A packet whose addresses are of two versions is an error."""
     rows = packets.withColumn("src_n", ip4(F.col("src_ip"))).withColumn("dst_n", ip4(F.col("dst_ip")))
-    first = (F.col("src_n") < F.col("dst_n")) | ((F.col("src_n") == F.col("dst_n")) & (F.col("src_port") <= F.col("dst_port")))
-    return rows.withColumn("first", first).select("*", *[F.when(F.col("first"), F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("lo_ip", "src_ip", "dst_ip"), ("lo_port", "src_port", "dst_port"), ("hi_ip", "dst_ip", "src_ip"), ("hi_port", "dst_port", "src_port"))]).drop("first")
+    # IPv4 numbers order as their bytes; only where one is missing are both packed.
+    both = F.col("src_n").isNotNull() & F.col("dst_n").isNotNull()
+    src, dst = packed(F.col("src_ip")), packed(F.col("dst_ip"))
+    mixed = F.length(src) != F.length(dst)
+    ports = F.col("src_port") <= F.col("dst_port")
+    by_number = (F.col("src_n") < F.col("dst_n")) | ((F.col("src_n") == F.col("dst_n")) & ports)
+    by_bytes = F.when(mixed, F.raise_error(F.lit("a packet mixes IP versions")).cast("boolean")).otherwise((src < dst) | ((src == dst) & ports))
+    rows = rows.withColumn("first", F.when(both, by_number).otherwise(by_bytes))
+    ends = (("lo_ip", "src_ip", "dst_ip"), ("lo_port", "src_port", "dst_port"), ("hi_ip", "dst_ip", "src_ip"), ("hi_port", "dst_port", "src_port"))
+    return rows.select("*", *[F.when(F.col("first"), F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in ends]).drop("first")
 
 
 def sessions(keyed: DataFrame, timeout_s: float | None) -> DataFrame:
@@ -37,7 +46,8 @@ def sessions(keyed: DataFrame, timeout_s: float | None) -> DataFrame:
 
 def build_flows(packets: DataFrame, timeout_s: float | None = None) -> DataFrame:
     """One row a flow; flow_id is the index of its first packet, which orders flows as captured."""
-    rows = sessions(with_key(packets.where(F.col("protocol").isin(6, 17))), timeout_s)
+    ip_bytes = F.col("ip_bytes") if "ip_bytes" in packets.columns else F.lit(None).cast("long")
+    rows = sessions(with_key(packets.where(F.col("protocol").isin(6, 17)).withColumn("ip_bytes", ip_bytes)), timeout_s)
     parts = [*KEY, "segment"]
     w = Window.partitionBy(*parts)
     tcp = F.col("protocol") == 6
@@ -56,7 +66,7 @@ def build_flows(packets: DataFrame, timeout_s: float | None = None) -> DataFrame
     flows = rows.groupBy(*parts).agg(
         F.min("packet_index").alias("flow_id"), F.first("first").alias("first"), F.first("init").alias("init"),
         F.min_by("ts", "packet_index").alias("start_time"), F.max_by("ts", "packet_index").alias("end_time"),
-        F.count(F.lit(1)).alias("packet_count"), F.sum("frame_bytes").alias("byte_count"), F.sum("payload_bytes").alias("transport_payload_byte_count"),
+        F.count(F.lit(1)).alias("packet_count"), F.sum("frame_bytes").alias("byte_count"), F.sum("payload_bytes").alias("transport_payload_byte_count"), F.sum("ip_bytes").alias("ip_byte_count"),
         count(from_src).alias("packets_from_src"), count(~from_src).alias("packets_from_dst"),
         F.sum(F.when(from_src, F.col("frame_bytes")).otherwise(0)).alias("bytes_from_src"), F.sum(F.when(~from_src, F.col("frame_bytes")).otherwise(0)).alias("bytes_from_dst"),
         count(tcp & _has(SYN)).alias("syn_count"), count(synack).alias("syn_ack_count"), count(tcp & _has(ACK)).alias("ack_count"), count(tcp & _has(RST)).alias("rst_count"),
@@ -72,6 +82,7 @@ def build_flows(packets: DataFrame, timeout_s: float | None = None) -> DataFrame
         *[c for c in flows.columns if c not in (*parts, "flow_id", "first", "init")],
         F.col("init.ip").alias("initial_syn_sender_ip"), F.col("init.port").alias("initial_syn_sender_port"), F.col("init.oip").alias("initial_syn_receiver_ip"), F.col("init.oport").alias("initial_syn_receiver_port"), F.col("init.ts").alias("first_syn_time"),
     )
+    flows = flows.withColumn("ip_version", F.when(F.col("src_n").isNotNull(), 4).otherwise(6)).withColumn("frame_byte_count", F.col("byte_count"))
     return flows.withColumn("duration", F.col("end_time") - F.col("start_time")).withColumn("observed_tcp_pattern", pattern())
 
 
@@ -82,3 +93,23 @@ def pattern() -> Column:
     sa_rst = (c("syn_from_initiator") > 0) & (c("synack_from_responder") > 0) & (c("rst_from_initiator") > 0) & (c("first_syn_time") <= c("first_responder_synack_time")) & (c("first_responder_synack_time") <= c("first_initiator_rst_time"))
     only = c("initial_syn_sender_ip").isNotNull() & (c("syn_from_initiator") > 0) & (c("synack_from_responder") == 0) & (c("rst_from_responder") == 0) & ~c("non_syn_response_observed")
     return F.when((c("protocol") != 6) | c("transport_payload_observed"), "none").when(to_rst, "syn_to_rst").when(sa_rst, "syn_synack_rst").when(only, "syn_only_observed").otherwise("none")
+
+
+def numbered(flows: DataFrame) -> DataFrame:
+    """flow_id becomes the 1-based rank of the flow's first packet: a range sort, counts a partition and
+    one offset each, so no task sees all flows."""
+    spark = flows.sparkSession
+    dealt = flows.repartitionByRange("flow_id").sortWithinPartitions("flow_id").withColumn("part", F.spark_partition_id())
+    sizes = {r.part: r.n for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    offsets, total = [], 0
+    for part in sorted(sizes):
+        offsets.append((part, total))
+        total += sizes[part]
+    offset = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part int, offset long"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("flow_id"))
+    return dealt.join(offset, "part").withColumn("flow_id", F.col("offset") + place).drop("part", "offset")
+
+
+def between(packets: DataFrame, start: float, end: float) -> DataFrame:
+    """The packets of [start, end), in capture order."""
+    return packets.where((F.col("ts") >= start) & (F.col("ts") < end)).orderBy("packet_index")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ip import cidr, network
 from ..operators import context, distribution, prefixes, scan
 from ..operators.flows import build_flows
+from ..sources.store import stored
 from .surrogate import flows_sql, packets
 
 TIMEOUT = 3 * 86400.0
@@ -17,7 +18,8 @@ SIZE, STEP, ANCHOR = 3 * 86400.0, 86400.0, 1704067200.0
 
 
 def _flows(s, d):
-    return build_flows(packets(s, d))
+    # Built once an application; every other query reads it.
+    return stored(s, d, "flows", lambda: build_flows(packets(s, d)))
 
 
 def _windows(s, d):
@@ -29,7 +31,7 @@ def _strict(s, d):
 
 
 def _labelled(s, d):
-    return scan.label_flows(_flows(s, d), scan.scan_sources(_strict(s, d)))
+    return stored(s, d, "labelled", lambda: scan.label_flows(_flows(s, d), scan.scan_sources(_strict(s, d))))
 
 
 def _candidates(s, d):
@@ -39,15 +41,15 @@ def _candidates(s, d):
 
 
 def _selected(s, d):
-    return prefixes.ledger(_candidates(s, d)).where("selected_for_analysis").select("net", "prefix_length", "prefix")
+    return stored(s, d, "selected", lambda: prefixes.ledger(_candidates(s, d)).where("selected_for_analysis").select("net", "prefix_length", "prefix"))
 
 
 def _members(s, d, scope="native"):
-    return prefixes.membership(_flows(s, d), _selected(s, d), scope)
+    return stored(s, d, f"members-{scope}", lambda: prefixes.membership(_flows(s, d), _selected(s, d), scope))
 
 
 def _cond(s, d):
-    return distribution.conditions(distribution.frequencies(_labelled(s, d), _members(s, d)))
+    return stored(s, d, "conditions", lambda: distribution.conditions(distribution.frequencies(_labelled(s, d), _members(s, d))))
 
 
 BASE = ["flow_id", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "start_time", "end_time", "duration", "packet_count", "byte_count", "transport_payload_byte_count", "packets_from_src", "packets_from_dst", "bytes_from_src", "bytes_from_dst"]
@@ -132,8 +134,11 @@ def _tuple(s, d):
 
 
 def build_labelled_timeout(s, d):
-    f = build_flows(packets(s, d), TIMEOUT)
-    return scan.label_flows(f, scan.scan_sources(scan.strict_windows(scan.scan_windows(f, SIZE, STEP, ANCHOR), 2, 2)))
+    def build():
+        f = build_flows(packets(s, d), TIMEOUT)
+        return scan.label_flows(f, scan.scan_sources(scan.strict_windows(scan.scan_windows(f, SIZE, STEP, ANCHOR), 2, 2)))
+
+    return stored(s, d, "labelled-timeout", build)
 
 
 def _source(s, d):
@@ -209,13 +214,3 @@ CATALOG = {
     "tuple_context": (_tuple, _sql(TUPLE, "259200")),
     "source_context": (_source, _sql(SOURCE, "259200")),
 }
-
-
-def queries() -> dict:
-    return {name: q for name, (q, _) in CATALOG.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    from .surrogate import FACTS
-
-    return {name: sql.replace(" FACTS ", f" {FACTS} ").replace(", FACTS FROM", f", {FACTS} FROM") for name, (_, sql) in CATALOG.items()}

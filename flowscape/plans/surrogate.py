@@ -16,7 +16,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("packet_index"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 1000000D").alias("ts"),
         F.expr("if(user_id % 5 = 0, 17, 6)").alias("protocol"), pick(cip, sip).alias("src_ip"), pick(cport, sport).alias("src_port"), pick(sip, cip).alias("dst_ip"), pick(sport, cport).alias("dst_port"),
         F.expr("if(user_id % 5 = 0, null, case event_type when 'click' then 2 when 'view' then 18 when 'purchase' then 16 when 'error' then 4 else 24 end)").alias("flags"),
-        F.expr("if(event_type = 'signup' and value > 60, cast(floor(value) as bigint), 0L)").alias("payload_bytes"), F.expr("54 + cast(floor(value) as bigint)").alias("frame_bytes"),
+        F.expr("if(event_type = 'signup' and value > 60, cast(floor(value) as bigint), 0L)").alias("payload_bytes"), F.expr("54 + cast(floor(value) as bigint)").alias("frame_bytes"), F.expr("40 + cast(floor(value) as bigint)").alias("ip_bytes"),
     )
 
 

@@ -5,26 +5,28 @@ import os
 import duckdb
 import pytest
 
-from flowscape.plans import catalog
+from flowscape.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["flow_patterns", "flows_basic", "flows_directional", "flows_timeout", "scan_windows", "flow_labels", "threshold_sweep", "membership_native", "ks_distance", "flow_jaccard", "condition_summary", "hhh_residuals", "tuple_context", "source_context"]
-
-
 def _rows(rows, names):
     at = [names.index(n) for n in sorted(names)]
     return sorted(repr(tuple(float(r[i]) if isinstance(r[i], float) else r[i] for i in at)) for r in rows)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", FAST)
-def test_query_equals_oracle(spark, name):
-    con = duckdb.connect()
+@pytest.fixture(scope="module")
+def con():
+    made = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = catalog.queries()[name](spark, SF)
-    cursor = con.execute(catalog.oracle_sql()[name])
+        made.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return made
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_oracle(spark, con, name):
+    df = registry.queries()[name](spark, SF)
+    cursor = con.execute(registry.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert _rows(df.collect(), df.columns) == _rows(cursor.fetchall(), names)
