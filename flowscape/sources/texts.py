@@ -35,7 +35,7 @@ def parse_report(lines: DataFrame, any_protocol: bool = False) -> DataFrame:
 
     for protocol, name in (("6", "tcp"), ("17", "udp")):
         for group, kind in ((4, "byte"), (5, "packet")):
-            out = out.withColumn(f"{name}_{kind}_ratio", F.format_number(total(protocol, group), "0.00"))
+            out = out.withColumn(f"{name}_{kind}_ratio", F.format_string("%.2f", total(protocol, group)))
     return out.drop("record")
 
 

@@ -1 +1 @@
-"""Flow analytics: streaming."""
+"""The flow operators over streams of packets: file ingest, windows, sessions."""
