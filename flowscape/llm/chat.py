@@ -6,7 +6,7 @@ role may follow which; joined in order, the segments of a conversation are its t
 string.  Control strings inside texts are escaped reversibly: in one pass each escape
 character becomes ``E0`` and each control string gets ``E1`` after its first character, so
 no control string is left whole, and dropping ``E1`` and reading ``E0`` as ``E`` restores
-the text.  ``read_back`` parses segments into turns again.
+the text.  ``read_back`` joins the segments and parses the turns from the marks in the string.
 
 Rows of a conversation are ordered by turn, then role, then text, so ties and repeated rows
 have one defined order (repeats stay).  Null text is the empty text, a null role the empty
@@ -112,43 +112,72 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 TURNS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, error string"
 
 
+class Reader:
+    """Turns from a conversation's joined string, by its marks alone.
+
+    No control string stands whole in an escaped text or role, so the first opening mark is the turn's and the first
+    closing mark of its role ends it.  Text is fed in pieces; only an open turn is held."""
+
+    def __init__(self, template: Template):
+        self.codec, self.after = Codec(template), template.after
+        opening, closing = template.before["*"].split("{role}")
+        self.roles = {v: k for k, v in template.before.items() if k != "*"}
+        known = "|".join(re.escape(m) for m in sorted(self.roles, key=len, reverse=True))
+        self.open = re.compile(f"({known})|{re.escape(opening)}(.*?){re.escape(closing)}", re.S)
+        self.held, self.text_at, self.role, self.mark, self.seen = "", 0, None, "", 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """(role, text) of the turns that the piece completes."""
+        self.held += piece
+        while True:
+            if self.role is None:
+                m = self.open.match(self.held)
+                if not m:
+                    return
+                self.role = self.roles[m[1]] if m[1] else self.codec.unescape(m[2])
+                self.mark = self.after.get(self.role if m[1] else "*", self.after["*"])
+                self.text_at = self.seen = m.end()
+            # A mark may begin in what was searched before.
+            end = self.held.find(self.mark, max(self.text_at, self.seen - len(self.mark)))
+            if end < 0:
+                self.seen = len(self.held)
+                return
+            yield self.role, self.codec.unescape(self.held[self.text_at : end])
+            self.held, self.role = self.held[end + len(self.mark) :], None
+
+
 def read_back(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """Parse segments, in the partitions and order format_chats gave them, into one row a
-    conversation.  Roles and texts come from the formatted strings alone."""
-    roles = {v: k for k, v in template.before.items() if k != "*"}
-    mark_open, mark_close = template.before["*"].split("{role}")
+    """One row a conversation from its joined segments, in the partitions and order format_chats gave them.
+    Roles and texts are parsed from the joined string; the loss flags only say which characters are learnt."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, now, started = Codec(template), None, False
+        codec, now, started, reader = Codec(template), None, False, Reader(template)
         turns = loss = None
         n = chars = formatted = 0
         valid, error = True, None
         for batch in batches:
             out = []
-            for conv, part, segment, learnt, fine, why in zip(*(batch.column(i).to_pylist() for i in (0, 2, 4, 5, 6, 7)), strict=True):
+            for conv, segment, learnt, fine, why in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if not started or conv != now:
                     if started:
                         out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, valid, error))
-                    now, started, turns, loss = conv, True, hashlib.sha256(), hashlib.sha256()
+                    now, started, turns, loss, reader = conv, True, hashlib.sha256(), hashlib.sha256(), Reader(template)
                     n = chars = formatted = 0
                     valid, error = True, None
                 formatted += len(segment)
                 valid, error = valid and fine, error or why
-                if part == 0:
-                    role = roles[segment] if segment in roles else codec.unescape(segment[len(mark_open) : len(segment) - len(mark_close)])
-                    turns.update(f"{role}\n".encode())
+                for role, text in reader.feed(segment):
+                    turns.update(f"{role}\n{text}\n".encode())
                     n += 1
-                elif part == 1:
+                if learnt:
                     text = codec.unescape(segment)
-                    turns.update(f"{text}\n".encode())
-                    if learnt:
-                        loss.update(text.encode())
-                        chars += len(text)
+                    loss.update(text.encode())
+                    chars += len(text)
             yield _turns(out)
         if started:
             yield _turns([(now, n, turns.hexdigest(), chars, loss.hexdigest(), formatted, valid, error)])
 
-    return segments.mapInArrow(parse, TURNS)
+    return segments.select("conv_id", "segment", "loss", "valid", "error").mapInArrow(parse, TURNS)
 
 
 def _turns(rows: list[tuple]) -> pa.RecordBatch:
