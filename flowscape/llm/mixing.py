@@ -4,7 +4,8 @@ Documents hang in a tree domain -> language -> source.  ``budgets`` hands a tota
 down the tree by weight.  A node can take at most ``max_epochs`` times its supply; what a
 child can't take goes to its siblings by their weights, and only what all siblings together
 can't take reaches the level above, because a subtree's capacity already caps what its
-parent is given.  ``select`` then takes, from each leaf, whole epochs and the token-prefix of
+parent is given.  Siblings fill up in the order of capacity over weight, so a running sum over them finds who is
+full: the tree may have any number of leaves and none are gathered on the driver.  ``select`` then takes, from each leaf, whole epochs and the token-prefix of
 one more: documents in the order of a seeded hash of that epoch, as long as their running
 token count stays within the leaf's budget.
 
@@ -14,26 +15,24 @@ that range's rows are ordered (a few thousandths of a leaf), so a leaf with a th
 is no different.
 
 Null domain, language or source count as the empty name; null text has no tokens and comes
-with any epoch in which its place is within the prefix; equal hashes are ordered by id;
+with any epoch in which its place is within the prefix; equal hashes are ordered by id, tokens and text;
 repeated rows count as separate documents; empty tables give empty results; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import clean_text, save
 
 BUCKETS = 4096
 LEVELS = ("domain", "lang", "source")
-#: The tree is configuration: more leaves than this is a wrong rule, not data to mix.
-MOST_LEAVES = 100_000
+#: Leaves whose budgets are broadcast; more are joined.
+SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -58,44 +57,36 @@ def domain_of(plan: Plan, source: Column) -> Column:
 
 
 def leaves_of(documents: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens (white-space separated words)."""
+    """doc_id, domain, lang, source, n_tokens (white-space separated words), tie (hash of the text)."""
     source = F.coalesce(F.col("source"), F.lit(""))
-    return documents.select("doc_id", domain_of(plan, source).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"), F.regexp_count(clean_text(), F.lit(r"\S+")).cast("long").alias("n_tokens"))
-
-
-def _fill(budget: float, children: list[tuple[tuple, float, float]]) -> dict[tuple, float]:
-    """(name, weight, capacity) -> share: by weight, the surplus of full ones to the rest."""
-    out, rest = {}, list(children)
-    while rest:
-        weight = sum(w for _, w, _ in rest)
-        full = [c for c in rest if c[2] <= (budget * c[1] / weight if weight else 0)]
-        if not full:
-            out |= {name: budget * w / weight if weight else 0.0 for name, w, _ in rest}
-            return out
-        for name, _, capacity in full:
-            out[name] = capacity
-            budget -= capacity
-        rest = [c for c in rest if c[0] not in out]
-        budget = max(budget, 0.0)
-    return out
-
-
-def budgets(supply: dict[tuple[str, str, str], int], plan: Plan) -> dict[tuple[str, str, str], int]:
-    """Tokens of each leaf."""
-    capacity: dict[tuple, float] = defaultdict(float)
-    for leaf, tokens in supply.items():
-        for depth in range(4):
-            capacity[leaf[:depth]] += tokens * plan.max_epochs
-    total = plan.total if plan.total is not None else plan.share * sum(supply.values())
-    given: dict[tuple, float] = {(): min(total, capacity[()])}
-    for depth, level in enumerate(LEVELS):
-        below: dict[tuple, set] = defaultdict(set)
-        for leaf in supply:
-            below[leaf[:depth]].add(leaf[: depth + 1])
-        for parent, names in below.items():
-            own = plan.weights.get(level, {})
-            given |= _fill(given[parent], [(n, own.get(n[-1], plan.default), capacity[n]) for n in sorted(names)])
-    return {leaf: int(given[leaf] + 1e-6) for leaf in supply}
+    return documents.select("doc_id", domain_of(plan, source).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"), F.regexp_count(clean_text(), F.lit(r"\S+")).cast("long").alias("n_tokens"), F.xxhash64(clean_text()).alias("tie"))
+
+
+def budgets(supply: DataFrame, plan: Plan) -> DataFrame:
+    """supply(domain, lang, source, t) of the leaves -> the same with leaf_budget in tokens."""
+    total = F.lit(float(plan.total)) if plan.total is not None else F.lit(plan.share) * F.col("supply")
+    whole = supply.agg(F.coalesce(F.sum("t"), F.lit(0)).cast("double").alias("supply"))
+    given = whole.select(F.least(total, F.col("supply") * plan.max_epochs).alias("given"))
+    above: list[str] = []
+    for level in LEVELS:
+        key = [*above, level]
+        weight = F.lit(plan.default)
+        for name, w in plan.weights.get(level, {}).items():
+            weight = F.when(F.col(level) == name, F.lit(w)).otherwise(weight)
+        nodes = supply.groupBy(*key).agg((F.sum("t") * plan.max_epochs).cast("double").alias("capacity")).withColumn("weight", weight.cast("double"))
+        nodes = nodes.join(given, above) if above else nodes.crossJoin(F.broadcast(given))  # one row
+        # By capacity over weight, a sibling is full as long as what those before it left would give it as much.
+        order = Window.partitionBy(*(above or [F.lit(0)])).orderBy(F.try_divide("capacity", "weight").asc_nulls_last(), level).rowsBetween(Window.unboundedPreceding, -1)
+        rest = Window.partitionBy(*(above or [F.lit(0)])).orderBy(F.try_divide("capacity", "weight").asc_nulls_last(), level).rowsBetween(0, Window.unboundedFollowing)
+        nodes = nodes.withColumn("budget", F.greatest(F.col("given") - F.coalesce(F.sum("capacity").over(order), F.lit(0.0)), F.lit(0.0))).withColumn("weights", F.sum("weight").over(rest))
+        share = F.coalesce(F.try_divide(F.col("budget") * F.col("weight"), F.col("weights")), F.lit(0.0))
+        nodes = nodes.withColumn("full", F.col("capacity") <= share)
+        # The first that is not full says what a unit of weight gets; those from it on share it.
+        first = Window.partitionBy(*(above or [F.lit(0)]))
+        unit = F.min_by(F.coalesce(F.try_divide("budget", "weights"), F.lit(0.0)), F.when(~F.col("full"), F.struct(F.coalesce(F.try_divide("capacity", "weight"), F.lit(float("inf"))), F.col(level)))).over(first)
+        given = save(nodes.withColumn("unit", unit).select(*key, F.when(F.col("full"), F.col("capacity")).otherwise(F.col("unit") * F.col("weight")).alias("given")), "mix-given")
+        above = key
+    return supply.join(given, [*LEVELS]).withColumn("leaf_budget", F.floor(F.col("given") + 1e-6)).drop("given")
 
 
 def _order(plan: Plan, epoch: Column) -> Column:
@@ -104,24 +95,21 @@ def _order(plan: Plan, epoch: Column) -> Column:
 
 def select(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008  frozen
     """doc_id, epoch, domain, lang, source, n_tokens, leaf_budget: one row a chosen document and epoch."""
-    spark = documents.sparkSession
     rows = save(leaves_of(documents, plan), "mix-leaves")
-    supply = {(r.domain, r.lang, r.source): r.t for r in rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t")).limit(MOST_LEAVES + 1).collect()}
-    if len(supply) > MOST_LEAVES:
-        raise ValueError(f"over {MOST_LEAVES} leaves: the tree's rules don't fit the table")
-    budget = budgets(supply, plan)
-    table = [(*leaf, budget[leaf], budget[leaf] // max(1, supply[leaf]), budget[leaf] % supply[leaf] if supply[leaf] else 0) for leaf in sorted(supply)]
-    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in LEVELS], *[T.StructField(n, T.LongType()) for n in ("leaf_budget", "whole", "rest")]])
-    known = F.broadcast(spark.createDataFrame(table, schema))  # at most MOST_LEAVES rows
+    supply = save(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t")), "mix-supply")
+    whole = F.when(F.col("t") > 0, F.expr("leaf_budget div t")).otherwise(F.col("leaf_budget"))
+    known = budgets(supply, plan).select(*LEVELS, "leaf_budget", whole.alias("whole"), F.when(F.col("t") > 0, F.col("leaf_budget") % F.col("t")).otherwise(0).alias("rest"))
+    if supply.count() <= SENT:
+        known = F.broadcast(known)
     placed = rows.join(known, [*LEVELS]).withColumn("h", _order(plan, F.col("whole"))).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
     sums = placed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = sums.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
-    ends = F.broadcast(ends.select(*LEVELS, F.col("bucket").alias("end"), "before"))  # a row a leaf
+    ends = ends.select(*LEVELS, F.col("bucket").alias("end"), "before")  # a row a leaf
     last = placed.join(ends, [*LEVELS], "left")
     inside = last.where(F.col("end").isNull() | (F.col("bucket") < F.col("end"))).where(F.col("rest") > 0)
     edge = last.where(F.col("bucket") == F.col("end"))
-    run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("h", "doc_id", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("run", run).where((F.col("run") <= F.col("rest")) & (F.col("rest") > 0))
     out = ["doc_id", F.col("whole").cast("int").alias("epoch"), *LEVELS, "n_tokens", "leaf_budget"]
     full = placed.where(F.col("whole") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1)).alias("epoch"), *LEVELS, "n_tokens", "leaf_budget")
