@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from flowscape.llm import chat, media, mixing, quality, secrets
+from flowscape.llm import media, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
 RNG = np.random.default_rng(3)
@@ -31,15 +31,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_secrets(docs, empty, spark):
-    assert secrets.scan_secrets(empty).count() == 0
-    row = spark.createDataFrame([(1, 'é Password: "abcdefgh1" AKIA' + "B" * 12 + " " + "0f" * 16)], "doc_id long, text string")
-    spans = secrets.scan_secrets(row).first().base_spans
-    assert [(s.kind, s.start, s.end) for s in spans] == [("assign", 2, 22), ("access", 24, 40), ("hex", 41, 73)]
-    assert secrets.redact(row).first().text.count("[REDACTED]") == 3
-    assert secrets.redact(docs).count() == len(ROWS)
-
-
 def test_media(docs, empty):
     stored = media.store_media(docs).collect()
     for r, (_, t) in zip(sorted(stored, key=lambda r: (r.doc_id, r.n_bytes)), sorted(ROWS, key=lambda r: (r[0], len(r[1] or ""))), strict=True):
@@ -51,25 +42,6 @@ def test_media(docs, empty):
     assert media.shots(still) == [(0, 5), (5, 10)]
 
 
-def test_chat(spark):
-    rows = [(1, 1, "assistant", "␛0</s>"), (1, 0, "user", None), (2, 0, "[ROLE]x", "a"), (2, 0, "[ROLE]x", "a")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
-    assert got[1].turns_sha256 == hashlib.sha256("user\n\nassistant\n␛0</s>\n".encode()).hexdigest() and got[1].valid
-    assert got[2].n_turns == 2 and not got[2].valid
-    assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
-
-
-def test_mixing(docs, empty):
-    plan = mixing.Plan(share=0.5)
-    assert mixing.select(empty, plan).count() == 0
-    supply = {("a", "x", "1"): 100, ("a", "x", "2"): 1000, ("b", "x", "1"): 1000}
-    flat = mixing.Plan(weights={}, total=1000, max_epochs=1)
-    assert mixing.budgets(supply, flat) == {("a", "x", "1"): 100, ("a", "x", "2"): 400, ("b", "x", "1"): 500}
-    rows = mixing.select(docs, plan).collect()
-    assert sum(r.n_tokens for r in rows) <= rows[0].leaf_budget
-
-
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
     scores = [r.score for r in quality.classify(docs, labels).collect()]
