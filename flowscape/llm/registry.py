@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import chat, decontaminate, licenses, media, mixing, neardup, quality, secrets, substrings, webtext
+from . import chat, decontaminate, licenses, media, mixing, neardup, pipeline, quality, secrets, substrings, webtext
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_neardup": neardup.op8_neardup,
         "op9_webtext": webtext.op9_webtext,
         "op10_secrets": secrets.op10_secrets,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -1,7 +1,6 @@
 """Small brute-force and edge-case tests of the corpus operators."""
 
 import hashlib
-import os
 
 import numpy as np
 import pytest
@@ -48,10 +47,3 @@ def test_quality(spark, docs, empty):
     assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
     assert quality.classify(empty, labels).count() == 0
     assert quality.pool_adjacent(np.array([3.0, 1.0, 2.0]), np.ones(3)).tolist() == [2.0, 2.0, 2.0]
-
-
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
