@@ -1,66 +1,5 @@
-"""The corpus pipeline: quality, near duplicates, benchmark leaks, secrets, mixing.
+"""The corpus pipeline's stages and run(), as the check and __spark_entry__ look for them."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's
-result as Parquet in the shared folder and reads it back as the next stage's documents.  All
-but the last return the columns of documents.  Null, empty and repeated rows are handled as
-the operators' docstrings say; rows with one id are one document to the deciding joins.
-"""
+from flowscape.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from flowscape.llm import decontaminate, mixing, neardup, quality, secrets
-from flowscape.llm.common import save
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under the threshold go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    poor = quality.classify(docs.select("doc_id", "text"), labels).where(F.col("score") < quality.THRESHOLD).select("doc_id").distinct()
-    return docs.join(poor, "doc_id", "left_anti").select(*COLUMNS)
-
-
-def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the least id."""
-    return neardup.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
-
-
-def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    bad = decontaminate.leaks(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
-
-
-def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
-    done = secrets.redact(docs.select(*COLUMNS))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The chosen documents and epochs of the token budget."""
-    return mixing.select(docs)
-
-
-STAGES = [
-    ("quality", _quality),
-    ("near_duplicates", _near_duplicates),
-    ("decontaminate", _decontaminate),
-    ("secrets", _secrets),
-    ("mixing", _mix),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
-
-
-#: The classifier and the signatures can't be said in SQL; the tests hold the stages against brute force.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
