@@ -28,13 +28,19 @@ def quantiles(cond: DataFrame) -> DataFrame:
     return cond.groupBy("target", "condition").agg(F.sum("n").alias("flows"), total.cast("double").alias("packets"), q.alias("q")).select("target", "condition", "flows", "packets", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p95"), F.try_divide("packets", F.col("flows")).alias("mean"))
 
 
-def histogram(cond: DataFrame, top: int = 20) -> DataFrame:
-    """Bins 1, 2, 3, 4, 8, 16 ... 2**top, zero bins included."""
-    edges = [1, 2, 3, *[2**k for k in range(2, top + 1)]]
-    bins = F.array(*[F.struct(F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi")) for a, b in zip(edges, [*edges[1:], 2**62], strict=True)])
-    grid = cond.select("target", "condition").distinct().withColumn("b", F.explode(bins)).select("target", "condition", "b.lo", "b.hi")
+def histogram(cond: DataFrame) -> DataFrame:
+    """Bins 1, 2, 3, 4, 8, 16 ... until one holds the greatest value, zero bins included."""
+    top = cond.agg(F.max("packet_count").alias("top"))  # one row
+    edges = F.concat(F.array(*[F.lit(x).cast("long") for x in (1, 2, 3)]), F.transform(F.sequence(F.lit(2), F.greatest(F.floor(F.log2("top")).cast("int"), F.lit(2))), lambda k: F.pow(F.lit(2.0), k).cast("long")))
+    bins = top.where("top is not null").select(F.explode(edges).alias("lo")).select("lo", F.when(F.col("lo") < 3, F.col("lo") + 1).when(F.col("lo") == 3, 4).otherwise(2 * F.col("lo")).alias("hi"))
+    grid = cond.select("target", "condition").distinct().crossJoin(F.broadcast(bins))  # 64 rows at most
     lo = F.when(F.col("packet_count") <= 3, F.col("packet_count")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("packet_count"))).cast("long"))
-    return grid.join(cond.withColumn("lo", F.least(lo, F.lit(2**top))).groupBy("target", "condition", "lo").agg(F.sum("n").alias("n")), ["target", "condition", "lo"], "left").fillna(0, ["n"])
+    return grid.join(cond.withColumn("lo", lo).groupBy("target", "condition", "lo").agg(F.sum("n").alias("n")), ["target", "condition", "lo"], "left").fillna(0, ["n"])
+
+
+def axis_upper(overall: int) -> int:
+    """The power of ten above a count, for a shared axis."""
+    return 10 ** len(str(overall))
 
 
 def ecdf(freq: DataFrame, by: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Packets to canonical bidirectional flows: keys, sessions, TCP facts, patterns.
 
-All order-dependent facts are windows over one partitioning, the 5-tuple (and session), so a
-flow table costs one shuffle of the packets.
+No window or buffer holds a flow.  What depends on order (first packet, first plain SYN, first SYN-ACK of the responder) is a
+least by packet index, aggregated on the map side and joined back; the joins can be split, so an elephant flow
+is no single task's.  Sessions by inactivity are counted in blocks of the capture and the blocks of a key put together.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ip import ip4, packed
+from ..sources.store import cut
 
 KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "protocol"]
 SYN, ACK, RST = 2, 16, 4
@@ -35,13 +37,27 @@ def with_key(packets: DataFrame) -> DataFrame:
     return rows.select("*", *[F.when(F.col("first"), F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in ends]).drop("first")
 
 
+#: Packets of the capture in a block of the session count.
+BLOCK = 100_000
+
+
 def sessions(keyed: DataFrame, timeout_s: float | None) -> DataFrame:
-    """Adds ``segment``: a gap strictly over the timeout, in capture order, starts a new one."""
+    """Adds ``segment``: a gap strictly over the timeout, in capture order, starts a new one.
+
+    Gaps inside a block of the capture are found there; between the blocks of a key only the
+    last and first timestamps matter."""
     if timeout_s is None:
         return keyed.withColumn("segment", F.lit(0).cast("long"))
-    w = Window.partitionBy(*KEY).orderBy("packet_index")
+    rows = keyed.withColumn("block", F.floor(F.col("packet_index") / BLOCK))
+    w = Window.partitionBy(*KEY, "block").orderBy("packet_index")
     fresh = F.coalesce(F.col("ts") - F.lag("ts").over(w) > timeout_s, F.lit(False)).cast("long")
-    return keyed.withColumn("fresh", fresh).withColumn("segment", F.sum("fresh").over(w)).drop("fresh")
+    rows = rows.withColumn("fresh", fresh).withColumn("inner", F.sum("fresh").over(w))
+    blocks = rows.groupBy(*KEY, "block").agg(F.min_by("ts", "packet_index").alias("first_ts"), F.max_by("ts", "packet_index").alias("last_ts"), F.sum("fresh").alias("fresh"))
+    run = Window.partitionBy(*KEY).orderBy("block")
+    gap = F.coalesce(F.col("first_ts") - F.lag("last_ts").over(run) > timeout_s, F.lit(False)).cast("long")
+    blocks = blocks.withColumn("gap", gap).withColumn("before", F.sum(F.col("gap") + F.col("fresh")).over(run) - F.col("fresh"))
+    blocks = cut(blocks.select(*KEY, "block", "before"), "session-blocks")
+    return rows.join(blocks, [*KEY, "block"]).withColumn("segment", F.col("before") + F.col("inner")).drop("block", "fresh", "inner", "before")
 
 
 def build_flows(packets: DataFrame, timeout_s: float | None = None) -> DataFrame:
@@ -49,16 +65,17 @@ def build_flows(packets: DataFrame, timeout_s: float | None = None) -> DataFrame
     ip_bytes = F.col("ip_bytes") if "ip_bytes" in packets.columns else F.lit(None).cast("long")
     rows = sessions(with_key(packets.where(F.col("protocol").isin(6, 17)).withColumn("ip_bytes", ip_bytes)), timeout_s)
     parts = [*KEY, "segment"]
-    w = Window.partitionBy(*parts)
     tcp = F.col("protocol") == 6
     plain = tcp & _has(SYN) & ~_has(ACK)
     synack = tcp & _has(SYN) & _has(ACK)
     end = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"), F.col("src_n").alias("n"), F.col("dst_n").alias("on"), F.col("dst_ip").alias("oip"), F.col("dst_port").alias("oport"), F.col("ts").alias("ts"), F.col("packet_index").alias("at"))
-    rows = rows.withColumn("first", F.min_by(end, "packet_index").over(w)).withColumn("init", F.min_by(end, F.when(plain, F.col("packet_index"))).over(w))
+    heads = rows.groupBy(*parts).agg(F.min_by(end, "packet_index").alias("first"), F.min_by(end, F.when(plain, F.col("packet_index"))).alias("init"))
+    rows = rows.join(cut(heads, "flow-heads"), parts)
     after = F.col("init").isNotNull() & (F.col("packet_index") >= F.col("init.at")) & tcp
     mine = (F.col("src_ip") == F.col("init.ip")) & (F.col("src_port") == F.col("init.port"))
     rows = rows.withColumn("by_init", after & mine).withColumn("by_resp", after & ~mine)
-    rows = rows.withColumn("sa", F.min_by(F.struct("ts", "packet_index"), F.when(F.col("by_resp") & synack, F.col("packet_index"))).over(w))
+    answers = rows.where(F.col("by_resp") & synack).groupBy(*parts).agg(F.min_by(F.struct("ts", "packet_index"), "packet_index").alias("sa"))
+    rows = rows.join(cut(answers, "flow-answers"), parts, "left")
     from_src = (F.col("src_ip") == F.col("first.ip")) & (F.col("src_port") == F.col("first.port"))
     late_ack = F.col("by_init") & _has(ACK) & ~_has(SYN) & ~_has(RST) & (F.col("packet_index") > F.col("sa.packet_index")) & (F.col("ts") >= F.col("sa.ts"))
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))

@@ -6,8 +6,12 @@ eligible lengths, so nothing is joined by range.
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ip import cidr, ip4, network
 
@@ -16,13 +20,41 @@ LENGTHS = list(range(24, 33))
 
 def parse(prefix):
     """CIDR text or bare address -> struct(net, len), null if it is not a concrete IPv4 network."""
+    prefix = F.trim(prefix)
     ip, length = ip4(F.split_part(prefix, F.lit("/"), F.lit(1))), F.try_to_number(F.split_part(prefix, F.lit("/"), F.lit(2)), F.lit("99"))
     size = F.when(~F.contains(prefix, F.lit("/")), F.lit(32)).otherwise(length.cast("int"))
     return F.when(ip.isNotNull() & size.between(0, 32), F.struct(network(ip, size).alias("net"), size.alias("len")))
 
 
+@F.pandas_udf(T.StructType([T.StructField("net", T.StringType()), T.StructField("len", T.IntegerType())]))
+def parse6(prefix: pd.Series) -> pd.DataFrame:
+    """IPv6 network text or address -> its one text and length, null for anything else."""
+
+    def one(text):
+        try:
+            net = ipaddress.ip_network((text or "").strip(), strict=False)
+        except ValueError:
+            return None, None
+        return (str(net), net.prefixlen) if net.version == 6 else (None, None)
+
+    return pd.DataFrame([one(t) for t in prefix], columns=["net", "len"]).astype({"len": "Int32"})
+
+
+def outside(candidates: DataFrame) -> DataFrame:
+    """Ledger rows of the IPv6 prefixes: counted, never selected."""
+    six = [candidates.select(F.col(c).alias("p"), F.lit(s).alias("s")).where(F.contains("p", F.lit(":"))) for c, s in (("src_prefix", 1), ("dst_prefix", 0))]
+    rows = six[0].unionByName(six[1]).select(parse6("p").alias("p"), "s").where("p.net is not null")
+    rows = rows.groupBy(F.col("p.net").alias("prefix"), F.col("p.len").alias("prefix_length")).agg(F.sum("s").alias("src_count"), F.count_if(F.col("s") == 0).alias("dst_count"), F.count(F.lit(1)).alias("total_count"))
+    none = F.lit(None).cast("string")
+    return rows.select(
+        F.lit(None).cast("long").alias("net"), "prefix", "prefix_length", none.alias("normalized_prefix_24"), (F.col("src_count") > 0).alias("seen_as_src_prefix"), (F.col("dst_count") > 0).alias("seen_as_dst_prefix"),
+        "src_count", "dst_count", "total_count", F.lit(False).alias("selected_for_analysis"), F.lit("outside_ipv4_baseline").alias("exclusion_reason"), none.alias("covered_by_prefix"),
+    )
+
+
 def ledger(candidates: DataFrame) -> DataFrame:
-    """candidates(src_prefix, dst_prefix) -> one row a prefix with counts, eligibility, parent."""
+    """candidates(src_prefix, dst_prefix) -> one row a prefix with counts, eligibility, parent.  IPv6 prefixes
+    have rows too, with their reason."""
     sides = candidates.select(parse(F.col("src_prefix")).alias("p"), F.lit(1).alias("s")).unionByName(candidates.select(parse(F.col("dst_prefix")).alias("p"), F.lit(0).alias("s")))
     rows = sides.where("p is not null").groupBy("p.net", "p.len").agg(F.sum("s").alias("src_count"), F.count_if(F.col("s") == 0).alias("dst_count"), F.count(F.lit(1)).alias("total_count"))
     rows = rows.withColumn("eligible", F.col("len") >= 24)
@@ -30,12 +62,13 @@ def ledger(candidates: DataFrame) -> DataFrame:
     parents = rows.where("eligible").select(F.col("net").alias("pnet"), F.col("len").alias("plen"))
     covered = up.join(parents, ["pnet", "plen"]).groupBy("net", "len").agg(F.min(F.struct("plen", "pnet")).alias("top"))
     out = rows.join(covered, ["net", "len"], "left")
-    return out.select(
+    four = out.select(
         "net", cidr(F.col("net"), F.col("len")).alias("prefix"), F.col("len").alias("prefix_length"), F.when(F.col("eligible"), cidr(network(F.col("net"), F.lit(24)), F.lit(24))).alias("normalized_prefix_24"),
         (F.col("src_count") > 0).alias("seen_as_src_prefix"), (F.col("dst_count") > 0).alias("seen_as_dst_prefix"), "src_count", "dst_count", "total_count",
         (F.col("eligible") & F.col("top").isNull()).alias("selected_for_analysis"),
         F.when(~F.col("eligible"), "broader_than_24").when(F.col("top").isNotNull(), "covered_by_parent").alias("exclusion_reason"), F.when(F.col("top").isNotNull(), cidr(F.col("top.pnet"), F.col("top.plen"))).alias("covered_by_prefix"),
     )
+    return four.unionByName(outside(candidates))
 
 
 def membership(flows: DataFrame, prefixes: DataFrame, scope: str = "native") -> DataFrame:

@@ -167,8 +167,8 @@ HEAVY = f", w0 AS (SELECT {IP.format('src_ip')} AS ip, sum(byte_count) AS w FROM
 LEGACY = """, lf AS (SELECT analysis_prefix, count(*) AS flow_count, sum(packet_count)::BIGINT AS packet_count, sum(byte_count)::BIGINT AS byte_count, avg((duration <= 1.0)::INT) AS sr, avg((packet_count <= 3)::INT) AS tr, avg((rst_count > 0)::INT) AS rr FROM lab JOIN mem USING (flow_id) WHERE dst_match GROUP BY 1),
  lr AS (SELECT *, count(*) OVER () AS n, rank() OVER (ORDER BY flow_count) + (count(*) OVER (PARTITION BY flow_count) - 1) / 2.0 AS a, rank() OVER (ORDER BY packet_count) + (count(*) OVER (PARTITION BY packet_count) - 1) / 2.0 AS b, rank() OVER (ORDER BY byte_count) + (count(*) OVER (PARTITION BY byte_count) - 1) / 2.0 AS c FROM lf)
  SELECT analysis_prefix, flow_count, packet_count, byte_count, round(.2 * a / n + .2 * b / n + .2 * c / n + .15 * (1 - sr) + .15 * (1 - tr) + .1 * (1 - rr), 9)::DOUBLE AS score FROM lr ORDER BY score DESC, flow_count DESC, packet_count DESC, byte_count DESC, analysis_prefix LIMIT 10"""
-EDGES = [1, 2, 3, *[2**k for k in range(2, 21)]]
-HIST = ", e AS (SELECT unnest(" + str(EDGES) + "::BIGINT[]) AS lo, unnest(" + str([*EDGES[1:], 2**62]) + "::BIGINT[]) AS hi) SELECT t.target, t.condition, e.lo, e.hi, coalesce(sum(c.n), 0)::BIGINT AS n FROM (SELECT DISTINCT target, condition FROM cond) t CROSS JOIN e LEFT JOIN cond c ON c.target = t.target AND c.condition = t.condition AND c.packet_count >= e.lo AND c.packet_count < e.hi GROUP BY 1, 2, 3, 4"
+HIST = """, e AS (SELECT lo, CASE WHEN lo < 3 THEN lo + 1 WHEN lo = 3 THEN 4 ELSE 2 * lo END AS hi FROM (SELECT unnest([1, 2, 3] || [1::BIGINT << k FOR k IN range(2, 62)])::BIGINT AS lo) WHERE lo <= greatest(4, (SELECT max(packet_count) FROM cond)))
+ SELECT t.target, t.condition, e.lo, e.hi, coalesce(sum(c.n), 0)::BIGINT AS n FROM (SELECT DISTINCT target, condition FROM cond) t CROSS JOIN e LEFT JOIN cond c ON c.target = t.target AND c.condition = t.condition AND c.packet_count >= e.lo AND c.packet_count < e.hi GROUP BY 1, 2, 3, 4"""
 KS = ", x AS (SELECT target, packet_count, sum(CASE WHEN condition = 'raw' THEN n ELSE 0 END) AS na, sum(CASE WHEN condition = 'retained' THEN n ELSE 0 END) AS nb FROM cond WHERE condition <> 'removed' GROUP BY 1, 2), y AS (SELECT target, sum(na) OVER r AS ca, sum(nb) OVER r AS cb, sum(na) OVER (PARTITION BY target) AS ta, sum(nb) OVER (PARTITION BY target) AS tb FROM x WINDOW r AS (PARTITION BY target ORDER BY packet_count)) SELECT target, CASE WHEN max(ta) * max(tb) > 0 THEN max(abs(ca * tb - cb * ta))::DOUBLE / (max(ta)::DOUBLE * max(tb)::DOUBLE) END AS ks FROM y GROUP BY 1"
 TUPLE = "SELECT l.flow_id, l.start_time AS t0, count(*) AS total, count(*) FILTER (k.ts < start_time) AS before, count(*) FILTER (k.ts > start_time) AS after, count(*) FILTER (k.src_ip = l.src_ip AND k.src_port = l.src_port) AS forward, count(*) FILTER (NOT (k.src_ip = l.src_ip AND k.src_port = l.src_port)) AS reverse, max(k.ts) FILTER (k.ts < start_time) AS previous_ts, min(k.ts) FILTER (k.ts > start_time) AS next_ts, max(k.ts) FILTER (k.ts < start_time AND k.src_ip <> l.src_ip) AS reverse_before_ts, min(k.ts) FILTER (k.ts > start_time AND k.src_ip <> l.src_ip) AS reverse_after_ts" + "".join(f", count(*) FILTER (k.ts < start_time AND k.ts - start_time >= -{n}) AS before_{n}s, count(*) FILTER (k.ts > start_time AND k.ts - start_time <= {n}) AS after_{n}s" for n in (3600, 86400, 259200)) + " FROM lab l JOIN k ON k.protocol = l.protocol AND ((k.src_ip = l.src_ip AND k.src_port = l.src_port AND k.dst_ip = l.dst_ip AND k.dst_port = l.dst_port) OR (k.src_ip = l.dst_ip AND k.src_port = l.dst_port AND k.dst_ip = l.src_ip AND k.dst_port = l.src_port)) WHERE l.packet_count = 1 AND NOT broad_removed GROUP BY 1, 2"
 SOURCE = "SELECT l.flow_id, count(*) AS packets, count(DISTINCT k.dst_ip || ':' || k.dst_port) AS unique_targets, count(DISTINCT k.dst_ip) AS unique_ips, count(DISTINCT k.dst_port) AS unique_ports FROM lab l JOIN k ON k.src_ip = l.src_ip AND k.protocol = 6 AND k.fl & 2 <> 0 AND k.fl & 16 = 0 AND abs(k.ts - l.start_time) <= 86400 WHERE l.packet_count = 1 AND NOT broad_removed AND l.initial_syn_sender_ip IS NOT NULL GROUP BY 1"

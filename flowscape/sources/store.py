@@ -32,3 +32,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         build().write.parquet(path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a table and read it back: lineage ends here, and a join with it has two plain sides that can be split."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
