@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ip import capacity, cidr, network
 from ..operators import behaviour, compare, context, distribution, heavy, scan
 from ..operators.flows import between, numbered
-from ..sources import capture
+from ..sources import capture, wire
 from ..sources.store import stored
 from .catalog import ANCHOR, DOT, IP, _cond, _flows, _labelled, _members, _selected, _sql, _strict, _windows, build_labelled_timeout
 from .surrogate import packets
@@ -421,6 +421,17 @@ def capture_starts(s, d):
     return capture.capture_start(capture.decode_captures(files)).select("file", F.round(F.col("capture_start") * 1000000).cast("long").alias("start_us"))
 
 
+@query(_sql("SELECT flow_id, src_ip, src_port, dst_ip, dst_port, protocol, packet_count, byte_count, floor(start_time)::BIGINT AS start_s, floor(end_time)::BIGINT AS end_s FROM fl"))
+def flow_records(s, d):
+    """Flows as 56-byte records, read back from their bytes."""
+    return wire.from_records(wire.to_records(wire.checked_flows(_flows(s, d))))
+
+
+@query(_sql("SELECT count(*) AS input_rows, 0::BIGINT AS excluded_ipv6, 0::BIGINT AS excluded_protocol, count(*) AS included_flows, sum(packet_count)::BIGINT AS included_packets, sum(byte_count)::BIGINT AS included_bytes FROM fl"))
+def record_audit(s, d):
+    return wire.conversion_audit(_flows(s, d))
+
+
 # Heavy hitters.
 
 _levels, _rest = f", w0 AS (SELECT {IP.format('src_ip')} AS ip, sum(byte_count) AS w FROM fl GROUP BY 1), tt AS (SELECT (sum(w) * 2 + 99) // 100 AS least FROM w0)", "SELECT ip AS net, w FROM w0"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowscape.functions.ip import packed, version
 from flowscape.operators.flows import build_flows
-from flowscape.sources import capture, texts
+from flowscape.sources import capture, texts, wire
 
 SIX = ("2001:db8::2", "2001:db8::1")
 FRAMES = [
@@ -101,3 +101,48 @@ def test_reports(spark, tmp_path):
     (tmp_path / "bad.txt").write_text(REPORT + "noise\n")
     with pytest.raises(Exception, match="not understood"):
         texts.read_report(spark, str(tmp_path / "bad.txt")).collect()
+
+
+def _residuals(change=lambda parts: None):
+    ip = lambda x: ipaddress.ip_address(x).packed.ljust(16, b"\0")
+    protocol = wire.PROTOCOL.pack(ip("0.0.0.1"), ip("0.0.0.2"), 24, 24, 3, 300, 1)
+    parts = [
+        wire.HEADER.pack(wire.MAGIC, 4, 20, 0, 1, 1000, 0), b"BLK1", wire.BLOCK.pack(0, 5, 9, 5, 500, 2, 1, 1),
+        wire.ADDRESS.pack(ip("10.0.0.0"), ip("0.0.0.0"), 24, 0, 5, 500, 2, 1, 2, 200, 1), protocol,
+        b"SUM1", wire.COUNTS.pack(5, 500, 2), struct.pack("!2Q", 1, 1), b"END1", struct.pack("!Q", 1), wire.COUNTS.pack(5, 500, 2),
+    ]
+    change(parts)
+    return b"".join(parts)
+
+
+def test_residual_frames_are_audited(spark):
+    said = wire.read_residuals(_residuals(), expected={"mode": "flow"})
+    assert said["totals"] == {"packet": 5, "byte": 500, "flow": 2} and said["unattributed"] == {"packet": 2, "byte": 200, "flow": 1}
+    rows = wire.residual_rows(spark.createDataFrame([("a", bytearray(_residuals()))], "path string, content binary")).collect()
+    assert [(r.src_prefix, r.dst_prefix, r.flows) for r in rows] == [("10.0.0.0/24", "0.0.0.0/0", 2)]
+
+    def swap(i, value):
+        return lambda parts: parts.__setitem__(i, value)
+
+    bad = [swap(0, wire.HEADER.pack(wire.MAGIC, 9, 20, 0, 1, 1, 0)), swap(2, wire.BLOCK.pack(1, 5, 9, 5, 500, 2, 1, 1)), swap(6, wire.COUNTS.pack(5, 500, 3)), swap(4, b""), swap(10, wire.COUNTS.pack(5, 1, 2)), lambda parts: parts.append(b"x"), swap(1, b"BLK2")]
+    for change in bad:
+        with pytest.raises(wire.WireError):
+            wire.read_residuals(_residuals(change))
+    with pytest.raises(wire.WireError, match="mode"):
+        wire.read_residuals(_residuals(), expected={"mode": "byte"})
+
+
+def test_records_refuse_what_they_cannot_hold(spark):
+    schema = "flow_id long, ip_version int, protocol int, src_ip string, src_port int, dst_ip string, dst_port int, packet_count long, byte_count long, start_time double, end_time double"
+    good = (1, 4, 6, "10.0.0.1", 1, "10.0.0.2", 2, 3, 400, 1.5, 2.5)
+    six = (2, 6, 17, "::1", 1, "::2", 2, 1, 60, 1.0, 1.0)
+    df = spark.createDataFrame([good, six], schema)
+    back = wire.from_records(wire.to_records(wire.checked_flows(df))).collect()
+    assert [tuple(r) for r in back] == [(1, "10.0.0.1", 1, "10.0.0.2", 2, 6, 3, 400, 1, 2)]
+    assert tuple(wire.conversion_audit(df).first()) == (2, 1, 0, 1, 3, 400)
+    for bad in ((*good[:7], 2**32, *good[8:]), (*good[:9], 3.0, 2.0), (*good[:4], 70000, *good[5:])):
+        with pytest.raises(wire.WireError):
+            wire.checked_flows(spark.createDataFrame([bad], schema))
+    with pytest.raises(wire.WireError, match="twice"):
+        wire.checked_flows(spark.createDataFrame([good, (2, *good[1:3], *good[5:7], *good[3:5], *good[7:])], schema))
+    assert wire.checked_flows(spark.createDataFrame([good, (2, *good[1:])], schema), segmented=True).count() == 2
