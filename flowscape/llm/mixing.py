@@ -31,7 +31,7 @@ from .common import clean_text, save
 
 BUCKETS = 4096
 LEVELS = ("domain", "lang", "source")
-#: Leaves whose budgets are broadcast; more are joined.
+#: Leaves whose budgets and ends are broadcast; more are joined.
 SENT = 100_000
 
 
@@ -99,13 +99,16 @@ def select(documents: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B00
     supply = save(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("t")), "mix-supply")
     whole = F.when(F.col("t") > 0, F.expr("leaf_budget div t")).otherwise(F.col("leaf_budget"))
     known = budgets(supply, plan).select(*LEVELS, "leaf_budget", whole.alias("whole"), F.when(F.col("t") > 0, F.col("leaf_budget") % F.col("t")).otherwise(0).alias("rest"))
-    if supply.count() <= SENT:
+    few = supply.count() <= SENT
+    if few:
         known = F.broadcast(known)
     placed = rows.join(known, [*LEVELS]).withColumn("h", _order(plan, F.col("whole"))).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))
     sums = placed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = sums.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
     ends = ends.select(*LEVELS, F.col("bucket").alias("end"), "before")  # a row a leaf
+    if few:
+        ends = F.broadcast(ends)
     last = placed.join(ends, [*LEVELS], "left")
     inside = last.where(F.col("end").isNull() | (F.col("bucket") < F.col("end"))).where(F.col("rest") > 0)
     edge = last.where(F.col("bucket") == F.col("end"))
