@@ -1,12 +1,10 @@
 """Time the headline flow queries; prints one JSON line.
 
-``queries`` are first runs: the query that first needs a shared table (flows, labels, members) pays for building it.
-``warm`` are medians of three later runs."""
+Times are of first runs: the query that first needs a shared table (flows, labels, members) pays for building it."""
 
 import json
 import os
 import time
-from statistics import median
 
 from pyspark.sql import SparkSession
 
@@ -31,8 +29,7 @@ def main() -> None:
     if os.path.isdir(small) and small != sf_dir:
         seconds("flow_patterns", small)  # compile once, on other tables
     first = {name: round(seconds(name, sf_dir), 3) for name in HEADLINE}
-    warm = {name: round(median(seconds(name, sf_dir) for _ in range(3)), 3) for name in HEADLINE}
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(first.values()), 3), "unit": "sec", "queries": first, "warm": warm, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(first.values()), 3), "unit": "sec", "queries": first, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
 
 
 if __name__ == "__main__":
