@@ -14,10 +14,16 @@ def cohort(labelled: DataFrame) -> DataFrame:
     return labelled.where((F.col("packet_count") == 1) & ~F.col("broad_removed"))
 
 
+def _keyed(targets: DataFrame, *more) -> DataFrame:
+    """The targets' keys, by the numbers of their addresses where they have them."""
+    numbers = [c for c in ("src_n", "dst_n") if c in targets.columns]
+    return with_key(targets.select(*more, "src_ip", "src_port", "dst_ip", "dst_port", "protocol", *numbers))
+
+
 def tuple_context(targets: DataFrame, packets: DataFrame, near: tuple[float, ...] = NEAR) -> DataFrame:
     """targets(flow_id, src/dst, protocol, start_time) against all packets of the 5-tuple.
     Packets at the target's own time count in total and direction, in neither before nor after."""
-    t = with_key(targets.select("flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", F.col("start_time").alias("t0"))).withColumnsRenamed({"src_ip": "t_ip", "src_port": "t_port"}).select("flow_id", "t0", "t_ip", "t_port", *KEY)
+    t = _keyed(targets, "flow_id", F.col("start_time").alias("t0")).withColumnsRenamed({"src_ip": "t_ip", "src_port": "t_port"}).select("flow_id", "t0", "t_ip", "t_port", *KEY)
     rows = t.join(with_key(packets).select(*KEY, "src_ip", "src_port", "ts"), KEY).withColumn("d", F.col("ts") - F.col("t0"))
     same = (F.col("src_ip") == F.col("t_ip")) & (F.col("src_port") == F.col("t_port"))
     return rows.groupBy("flow_id", "t0").agg(
@@ -30,7 +36,7 @@ def tuple_context(targets: DataFrame, packets: DataFrame, near: tuple[float, ...
 
 def observations(targets: DataFrame, packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of all packets, those with a target's key, and the plain SYNs sent by an endpoint of a target."""
-    keys = with_key(targets.select("src_ip", "src_port", "dst_ip", "dst_port", "protocol")).select(*KEY).distinct()
+    keys = _keyed(targets).select(*KEY).distinct()
     ends = targets.select(F.col("src_ip").alias("ip")).unionByName(targets.select(F.col("dst_ip").alias("ip"))).distinct()
     plain = (F.col("protocol") == 6) & (F.col("flags").bitwiseAND(2) != 0) & (F.col("flags").bitwiseAND(16) == 0)
     return with_key(packets).join(keys, KEY, "left_semi"), packets.where(plain).join(ends.withColumnRenamed("ip", "src_ip"), "src_ip", "left_semi")
@@ -39,7 +45,7 @@ def observations(targets: DataFrame, packets: DataFrame) -> tuple[DataFrame, Dat
 def target_matches(targets: DataFrame, packets: DataFrame) -> DataFrame:
     """flow_id, matches: packets with the target's key and exactly its timestamp; one is right, none is
     missing, more are ambiguous."""
-    t = with_key(targets.select("flow_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", F.col("start_time").alias("ts"))).select("flow_id", "ts", *KEY)
+    t = _keyed(targets, "flow_id", F.col("start_time").alias("ts")).select("flow_id", "ts", *KEY)
     hits = t.join(with_key(packets).select(*KEY, "ts", F.lit(1).alias("hit")), [*KEY, "ts"], "left")
     return hits.groupBy("flow_id").agg(F.count("hit").alias("matches"))
 
@@ -83,7 +89,7 @@ def source_contexts(targets: DataFrame, syns: DataFrame, windows: dict[str, floa
 
 def cohort_hash(targets: DataFrame) -> DataFrame:
     """One row: number of distinct keys and a hash of them that doesn't depend on their order."""
-    keys = with_key(targets.select("src_ip", "src_port", "dst_ip", "dst_port", "protocol")).select(*KEY).distinct()
+    keys = _keyed(targets).select(*KEY).distinct()
     each = F.sha2(F.concat_ws("|", *KEY), 256)
     return keys.agg(F.count(F.lit(1)).alias("keys"), F.sum(F.conv(F.substring(each, 1, 8), 16, 10).cast("decimal(38,0)")).alias("digest"))
 

@@ -23,16 +23,20 @@ def _has(bit: int) -> Column:
 
 def with_key(packets: DataFrame) -> DataFrame:
     """Direction-independent key: endpoints ordered by (address bytes, port), for both IP versions.
-    A packet whose addresses are of two versions is an error."""
-    rows = packets.withColumn("src_n", ip4(F.col("src_ip"))).withColumn("dst_n", ip4(F.col("dst_ip")))
+    A packet whose addresses are of two versions is an error.  Packets may bring the numbers of their addresses
+    (``src_n``, ``dst_n``); texts that are no address and have no number order as texts."""
+    rows = packets
+    for number, text in (("src_n", "src_ip"), ("dst_n", "dst_ip")):
+        rows = rows.withColumn(number, F.coalesce(F.col(number), ip4(F.col(text))) if number in packets.columns else ip4(F.col(text)))
     # IPv4 numbers order as their bytes; only where one is missing are both packed.
     both = F.col("src_n").isNotNull() & F.col("dst_n").isNotNull()
     src, dst = packed(F.col("src_ip")), packed(F.col("dst_ip"))
     mixed = F.length(src) != F.length(dst)
-    ports = F.col("src_port") <= F.col("dst_port")
+    texts = (F.col("src_ip") < F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port")))
+    ports = (F.col("src_port") < F.col("dst_port")) | ((F.col("src_port") == F.col("dst_port")) & (F.col("src_ip") <= F.col("dst_ip")))
     by_number = (F.col("src_n") < F.col("dst_n")) | ((F.col("src_n") == F.col("dst_n")) & ports)
     by_bytes = F.when(mixed, F.raise_error(F.lit("a packet mixes IP versions")).cast("boolean")).otherwise((src < dst) | ((src == dst) & ports))
-    rows = rows.withColumn("first", F.when(both, by_number).otherwise(by_bytes))
+    rows = rows.withColumn("first", F.when(both, by_number).otherwise(F.coalesce(by_bytes, texts)))
     ends = (("lo_ip", "src_ip", "dst_ip"), ("lo_port", "src_port", "dst_port"), ("hi_ip", "dst_ip", "src_ip"), ("hi_port", "dst_port", "src_port"))
     return rows.select("*", *[F.when(F.col("first"), F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in ends]).drop("first")
 
