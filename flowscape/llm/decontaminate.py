@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then alignment and answer checks.
 
 1. Document frequencies of hashed words over all documents (partition sums added by word).
-2. A randomised SVD of TF-IDF passages: the benchmark's passages and those of a bounded
-   hash sample of documents (``FIT_DOCS``, used for the basis only) multiply random
-   vectors partition by partition; the sums, QR and one power step give ``RANK`` latent
-   directions.
+2. A randomised SVD of TF-IDF passages: the benchmark's passages and those of all
+   documents multiply random vectors partition by partition, once; the sums give ``RANK``
+   latent directions (Nystroem's form: the product is that of a symmetric matrix).
 3. Windows of every document are projected and searched by cosine, each item by windows of its own length
    (the next power of two, 32 words at least).  A window is a candidate if its latent product
    over its own TF-IDF norm reaches ``COSINE`` of the item's share in the basis, |Pq|, which is what a window
@@ -35,11 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, run_hashes, save
+from .common import clean_text, drop_saved, run_hashes, save
 
 VOCABULARY = 1 << 16
 RANK = 64
-FIT_DOCS = 4_000
 STEP = 8
 PASSAGE = 64
 COSINE = 0.6
@@ -65,19 +63,30 @@ def _slots(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(VOCABULARY - 1)).astype(np.int64)
 
 
-def _idf(documents: DataFrame) -> np.ndarray:
+def _slot_table(documents: DataFrame) -> DataFrame:
+    """slots: those of each text's words in order, two bytes a word, written once for two passes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_slots(words_of(v.as_buffer().to_pybytes())).astype(np.uint16).tobytes() for v in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["slots"])
+
+    return save(documents.select(clean_text().alias("text")).mapInArrow(work, "slots binary"), "lsa-slots")
+
+
+def _idf(slots: DataFrame) -> np.ndarray:
     """Inverse document frequency of each slot over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(VOCABULARY, np.int64), 0
         for batch in batches:
             for v in batch.column(0):
-                total[np.unique(_slots(words_of(v.as_buffer().to_pybytes())))] += 1
+                total[np.unique(np.frombuffer(v.as_buffer(), np.uint16))] += 1
                 n += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["slot", "n"])
 
-    rows = documents.select(clean_text().alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most VOCABULARY + 1 rows
+    rows = slots.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most VOCABULARY + 1 rows
     found = dict(zip(rows["slot"], rows["n"], strict=True))
     n = found.pop(-1, 0)
     out = np.full(VOCABULARY, np.log(n + 1.0))
@@ -92,46 +101,77 @@ def _passage(slots: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, x / max(np.sqrt((x * x).sum()), 1e-9)
 
 
-def _basis(documents: DataFrame, own: list, place: np.ndarray, idf: np.ndarray, n_docs: int, seed: int = 5) -> np.ndarray:
+def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slots and passage numbers of the texts, about ``SLICE`` words at a time; passages are whole."""
+    slots, passages, held, first = [], [], 0, 0
+    for v in column:
+        own = np.frombuffer(v.as_buffer(), np.uint16)
+        for a in range(0, len(own), SLICE // PASSAGE * PASSAGE or PASSAGE):
+            part = own[a : a + (SLICE // PASSAGE * PASSAGE or PASSAGE)]
+            slots.append(part)
+            passages.append(first + np.arange(len(part)) // PASSAGE)
+            held, first = held + len(part), first + -(-len(part) // PASSAGE)
+            if held >= SLICE:
+                yield np.concatenate(slots), np.concatenate(passages)
+                slots, passages, held, first = [], [], 0, 0
+    if held:
+        yield np.concatenate(slots), np.concatenate(passages)
+
+
+def _added(slots: np.ndarray, passages: np.ndarray, idf: np.ndarray, place: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sums): what these passages add to A^T (A probe), A being their TF-IDF rows."""
+    key, n = np.unique(passages * VOCABULARY + slots, return_counts=True)
+    passage, slot = key // VOCABULARY, key % VOCABULARY
+    x = n * idf[slot]
+    x /= np.maximum(np.sqrt(np.bincount(passage, x * x)), 1e-9)[passage]
+    row = place[slot]
+    some = row < len(probe)
+    passage, row, x = passage[some], row[some], x[some].astype(np.float32)
+    if not len(row):
+        return row, np.zeros((0, probe.shape[1]), np.float32)
+    edge = np.flatnonzero(np.diff(passage, prepend=-1))
+    along = np.add.reduceat(probe[row] * x[:, None], edge, axis=0)
+    order = np.argsort(row, kind="stable")
+    back = along[np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(row))))[order]] * x[order, None]
+    row = row[order]
+    edge = np.flatnonzero(np.diff(row, prepend=-1))
+    return row[edge], np.add.reduceat(back, edge, axis=0)
+
+
+def _basis(slots: DataFrame, own: list, place: np.ndarray, idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """Orthonormal latent directions (a row for each of the benchmark's slots) by randomised SVD."""
     n = int(place.max())
     rng, width = np.random.default_rng(seed), min(RANK + 16, n)
-    every = max(1, n_docs // FIT_DOCS)
-    sample = save(documents.select(clean_text().alias("text"), F.xxhash64("doc_id", F.lit(seed)).alias("h")).where(F.pmod("h", F.lit(every)) == 0).select("text").repartition(8), "lsa-sample")
-
-    def product(probe: np.ndarray) -> np.ndarray:
-        """A^T (A probe), A being the passages' TF-IDF rows; items weigh as much as the sample."""
-        size = probe.shape[1]
-        sent = probe.astype(np.float32)
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, touched = np.zeros((n, size)), np.zeros(n, bool)
-            for batch in batches:
-                for v in batch.column(0):
-                    slots = _slots(words_of(v.as_buffer().to_pybytes()))
-                    for a in range(0, len(slots), PASSAGE):
-                        s, x = _passage(slots[a : a + PASSAGE], idf)
-                        r = place[s]
-                        r, x = r[r < n], x[r < n]
-                        total[r] += x[:, None] * (x @ sent[r])
-                        touched[r] = True
-            some = np.flatnonzero(touched)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * size, pa.int32()), pa.array(total[some].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(some), lists], names=["slot", "row"])
-
-        parts = sample.mapInArrow(add, "slot long, row array<double>").groupBy("slot").agg(F.array(*[F.sum(F.get("row", F.lit(j))) for j in range(size)]).alias("row"))
-        out = np.zeros((n, size))
-        got = parts.toPandas()  # at most a row for each of the benchmark's slots
-        if len(got):
-            out[got["slot"].to_numpy()] = np.stack(got["row"].to_numpy())
-            out /= max(np.abs(out).max(), 1e-9)
-        for s, x in own:
-            out[place[s]] += x[:, None] * (x @ probe[place[s]])
-        return out
-
-    q, _ = np.linalg.qr(product(rng.normal(size=(n, width))))
-    left, _, _ = np.linalg.svd(q.T @ product(q))
-    return (q @ left[:, :RANK]).astype(np.float32)
+    probe = np.linalg.qr(rng.normal(size=(n, width)))[0]
+    sent = probe.astype(np.float32)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, touched = np.zeros((n, width)), np.zeros(n, bool)
+        for batch in batches:
+            for some, passages in _chunks(batch.column(0)):
+                rows, sums = _added(some, passages, idf, place, sent)
+                total[rows] += sums
+                touched[rows] = True
+        some = np.flatnonzero(touched)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * width, pa.int32()), pa.array(total[some].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), lists], names=["slot", "row"])
+
+    parts = slots.mapInArrow(add, "slot long, row array<double>").groupBy("slot").agg(F.array(*[F.sum(F.get("row", F.lit(j))) for j in range(width)]).alias("row"))
+    product, got = np.zeros((n, width)), parts.toPandas()  # at most a row for each of the benchmark's slots
+    if len(got):
+        product[got["slot"].to_numpy()] = np.stack(got["row"].to_numpy())
+        product /= max(np.abs(product).max(), 1e-9)
+    # Items weigh as much as the documents: their greatest entry is 1 too.
+    mine = np.zeros((n, width))
+    for s, x in own:
+        mine[place[s]] += x[:, None] * (x @ probe[place[s]])
+    product += mine / max(np.abs(mine).max(), 1e-9)
+    # product = G probe with G symmetric, so G is about product (probe^T product)^-1 product^T.
+    core = probe.T @ product
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    able = values > 1e-9 * max(values.max(), 1e-30)
+    left, _, _ = np.linalg.svd(product @ (vectors[:, able] / np.sqrt(values[able])), full_matrices=False)
+    return left[:, :RANK].astype(np.float32)
 
 
 def lcs(one: list, other: list) -> int:
@@ -157,16 +197,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sh
     blocks = -(-total // ITEM_BYTES)
     if not blocks:
         return documents.sparkSession.createDataFrame([], _FOUND)
-    idf, n_docs = _idf(documents), documents.count()
+    slots = _slot_table(documents)
+    idf = _idf(slots)
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about ITEM_BYTES
-        one = _leaks(documents, [(r[0], words_of(r[1].encode())) for r in rows], idf, n_docs, cosine, share, answer)
+        one = _leaks(documents, slots, [(r[0], words_of(r[1].encode())) for r in rows], idf, cosine, share, answer)
         out = one if out is None else out.unionByName(one)
+    drop_saved(slots)
     return out
 
 
-def _leaks(documents: DataFrame, items: list, idf: np.ndarray, n_docs: int, cosine: float, share: float, answer: float) -> DataFrame:
+def _leaks(documents: DataFrame, slots: DataFrame, items: list, idf: np.ndarray, cosine: float, share: float, answer: float) -> DataFrame:
     spark = documents.sparkSession
     items = [(i, w) for i, w in items if len(w)]
     if not items:
@@ -177,7 +219,7 @@ def _leaks(documents: DataFrame, items: list, idf: np.ndarray, n_docs: int, cosi
     used = np.unique(np.concatenate([s for s, _ in own]))
     place = np.full(VOCABULARY + 1, len(used), np.int32)
     place[used] = np.arange(len(used))
-    basis = _basis(documents, own, place, idf, n_docs)
+    basis = _basis(slots, own, place, idf)
     query = np.stack([x @ basis[place[s]] for s, x in own]).astype(np.float32)
     kept = np.maximum(np.linalg.norm(query, axis=1), 1e-6)
     query = query / kept[:, None]

@@ -109,3 +109,34 @@ def test_decontaminate_finds_every_item_of_a_large_benchmark(spark):
     assert got == want
 
 
+def test_the_basis_is_that_of_all_documents(spark):
+    """Of 9,000 documents none is left out: the directions are the leading ones of the whole passage matrix."""
+    rng = np.random.default_rng(8)
+    weight = 1 / np.arange(1, 41)
+    draw = lambda n, shift: [VOCAB[shift + i] for i in rng.choice(40, n, p=weight / weight.sum())]
+    # Every third document draws from other words than the rest, so a part of them would give other directions.
+    texts = [draw(int(rng.integers(1, 90)), 40 if d % 3 == 0 else 0) for d in range(9000)]
+    slots = decontaminate._slot_table(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], DOCS))
+    of = lambda t: decontaminate._slots(decontaminate.words_of(" ".join(t).encode()))
+    idf = decontaminate._idf(slots)
+    seen = {k: sum(k in s for s in [set(of(t).tolist()) for t in texts]) for k in (int(of([w])[0]) for w in VOCAB[:5])}
+    assert all(np.isclose(idf[k], np.log(9001 / (n + 0.5))) for k, n in seen.items())
+    own = [decontaminate._passage(of(VOCAB[:80]), idf)]
+    used = own[0][0]
+    place = np.full(decontaminate.VOCABULARY + 1, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    gram = np.zeros((len(used), len(used)))
+    for t in texts:
+        for a in range(0, len(t), decontaminate.PASSAGE):
+            s, x = decontaminate._passage(of(t)[a : a + decontaminate.PASSAGE], idf)
+            gram[np.ix_(place[s], place[s])] += np.outer(x, x)
+    probe = np.linalg.qr(np.random.default_rng(5).normal(size=(len(used), 80)))[0]
+    item = np.outer(own[0][1], own[0][1])[np.argsort(place[used])]
+    whole = gram / np.abs(gram @ probe).max() + item / np.abs(item @ probe).max()
+    basis = decontaminate._basis(slots, own, place, idf)
+    values, vectors = np.linalg.eigh(whole)
+    lead = vectors[:, ::-1][:, : decontaminate.RANK]
+    assert basis.shape == lead.shape
+    assert np.trace(basis.T @ whole @ basis) >= 0.999 * values[::-1][: decontaminate.RANK].sum()
+    first = vectors[:, ::-1][:, :8]
+    assert np.linalg.svd(first.T @ basis)[1].min() > 0.999
