@@ -1,9 +1,11 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance.
 
 All in DataFrame functions.  Words are lower-case runs of ASCII letters and digits.  Each template is a notice, a
-file header or a whole licence text.  Of every whole text, each run of 1 to ``WINDOW`` adjacent lines that are not blank, and
-the text as a whole, is compared if it holds a word of the templates that at most ``RARE`` of all documents have and at
-least ``SHARE`` of its words are template words.  Words weigh their count times their inverse document frequency over all
+file header or a whole licence text.  Of every whole text, each run of 1 to ``WINDOW`` adjacent lines that are not blank,
+each longer block of adjacent lines in which at least ``BLOCK`` of the words are template words, however many they are, and
+the text as a whole, is compared if at least ``SHARE`` of its words are template words.  Runs are looked for by the template words
+that at most ``RARE`` of all documents have; where the other words of a template could reach ``COSINE`` without them, the
+rarest of those are looked for too, so no run that reaches it is left out, however common its licence is.  Words weigh their count times their inverse document frequency over all
 documents; a word of no template weighs as one that 1 in 100 documents has.  A document's own licence is the
 template of greatest cosine, ``COSINE`` at least, ties by name; a line ``SPDX-License-Identifier: X`` says X.
 
@@ -83,7 +85,7 @@ TEMPLATES = {
 }
 SPDX = r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]*[A-Za-z0-9+])"
 FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
-COSINE, SHARE, RARE, WINDOW = 0.7, 0.5, 0.05, 4
+COSINE, SHARE, RARE, WINDOW, BLOCK = 0.7, 0.5, 0.05, 4, 0.8
 
 
 def words(text: str) -> list[str]:
@@ -107,24 +109,48 @@ def frequencies(documents: DataFrame) -> tuple[int, dict[str, int]]:
     return documents.count(), {r.word: r.n for r in found.collect()}  # a row a word of the templates
 
 
+def search_words(n_docs: int, df: dict[str, int], idf: dict[str, float]) -> list[str]:
+    """Words one of which every run of a template's cosine has: the words that are left out hold too little of a
+    template's norm, since a run's cosine is at most the norm of the template's part that it shares."""
+    found = {w for w in VOCABULARY if df.get(w, 0) <= RARE * n_docs}
+    for texts in TEMPLATES.values():
+        for text in texts:
+            own = words(text)
+            power = {w: (own.count(w) * idf[w]) ** 2 for w in sorted(set(own))}
+            rest = sum(x for w, x in power.items() if w not in found)
+            for w in sorted(power.keys() - found, key=lambda w: (df.get(w, 0), w)):
+                if rest < (COSINE - 1e-6) ** 2 * sum(power.values()):
+                    break
+                found.add(w)
+                rest -= power[w]
+    return sorted(found)
+
+
 def _runs(rows: DataFrame, rare: list[str]) -> DataFrame:
     """rows(row, text) -> row, all_lines, start, n (lines), content (its words), spdx."""
     keys, known = _literal(rare), _literal(VOCABULARY)
-    able = rows.where(F.arrays_overlap(_words(clean_text()), keys))
+    able = rows.where(F.contains(clean_text(), F.lit("SPDX-License-Identifier:")) | F.arrays_overlap(_words(clean_text()), keys))
     # An expression that a lambda uses is evaluated at each of its calls; explode binds it to a column first.
     bind = lambda df, name, value: df.select(*df.columns, F.explode(F.array(value)).alias(name))
     bags = bind(able, "lines", F.filter(F.split(clean_text(), "\n"), lambda x: F.trim(x) != "")).select("row", "lines", F.size("lines").alias("all_lines"))
-    bags = bind(bind(bags, "bags", F.transform("lines", _words)), "hit", F.transform("bags", lambda b: F.arrays_overlap(b, keys)))
+    named = F.transform("lines", lambda x: F.regexp_extract(x, SPDX, 1))
+    bags = bind(bind(bind(bags, "bags", F.transform("lines", _words)), "spdx", named), "hit", F.zip_with(F.transform("bags", lambda b: F.arrays_overlap(b, keys)), "spdx", lambda h, x: h | (x != "")))
+    share = lambda words, least: F.size(F.filter(words, lambda w: F.array_contains(known, w))) >= least * F.size(words)
+    bags = bind(bags, "full", F.transform("bags", lambda b: share(b, BLOCK)))
     bags = bags.withColumn("all", F.sequence(F.lit(0), F.greatest(F.col("all_lines") - 1, F.lit(0))))
     # Runs that start at a line or up to WINDOW - 1 lines before it, if one of their lines is hit.
     size = F.sequence(F.lit(1), F.lit(WINDOW))
     spans = F.flatten(F.transform("all", lambda i: F.transform(size, lambda n: F.struct(i.alias("start"), n.alias("n")))))
     spans = F.filter(spans, lambda s: (s["start"] + s["n"] <= F.col("all_lines")) & F.exists(F.slice("hit", s["start"] + 1, s["n"]), lambda h: h))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("all_lines").alias("n")))
-    spans = F.when(F.col("all_lines") > WINDOW, F.concat(spans, whole)).otherwise(spans)
-    runs = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.flatten(F.slice("bags", s["start"] + 1, s["n"])).alias("words"), F.when(s["n"] == 1, F.regexp_extract(F.get("lines", s["start"]), SPDX, 1)).otherwise("").alias("spdx")))
-    template = lambda r: F.size(F.filter(r["words"], lambda w: F.array_contains(known, w))) >= SHARE * F.size(r["words"])
-    kept = F.filter(runs, lambda r: (r["spdx"] != "") | template(r))
+    # Longer blocks from their first lines to their last ones.
+    full = lambda i: F.coalesce(F.get("full", i), F.lit(False))
+    ends = F.arrays_zip(F.filter("all", lambda i: full(i) & ~full(i - 1)).alias("a"), F.filter("all", lambda i: full(i) & ~full(i + 1)).alias("b"))
+    blocks = F.transform(ends, lambda e: F.struct(e["a"].alias("start"), (e["b"] - e["a"] + 1).alias("n")))
+    blocks = F.filter(blocks, lambda s: (s["n"] > WINDOW) & (s["n"] < F.col("all_lines")) & F.exists(F.slice("hit", s["start"] + 1, s["n"]), lambda h: h))
+    spans = F.when(F.col("all_lines") > WINDOW, F.concat(spans, blocks, whole)).otherwise(spans)
+    runs = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.flatten(F.slice("bags", s["start"] + 1, s["n"])).alias("words"), F.when(s["n"] == 1, F.get("spdx", s["start"])).otherwise("").alias("spdx")))
+    kept = F.filter(runs, lambda r: (r["spdx"] != "") | share(r["words"], SHARE))
     out = bags.select("row", "all_lines", F.explode(kept).alias("r"))
     return out.select("row", "all_lines", "r.start", "r.n", F.concat_ws(" ", "r.words").alias("content"), "r.spdx")
 
@@ -135,7 +161,7 @@ def own_licenses(rows: DataFrame) -> DataFrame:
     n_docs, df = frequencies(rows)
     idf = {w: 1 + log((n_docs + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
     other = 1 + log((n_docs + 1) / (n_docs / 100 + 1))
-    runs = save(_runs(rows, [w for w in VOCABULARY if df.get(w, 0) <= RARE * n_docs]), "lic-runs")
+    runs = save(_runs(rows, search_words(n_docs, df, idf)), "lic-runs")
     # Equal runs are scored once however many documents share them.
     kinds = runs.where("spdx = ''").select("content").distinct()
     weights = F.broadcast(spark.createDataFrame([(w, idf[w]) for w in VOCABULARY], "word string, idf double"))  # the templates' words

@@ -75,3 +75,23 @@ def test_equals_the_definition(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert licenses.scan_licenses(df, df.path).count() == 0
+
+
+def test_a_common_licence_is_found(spark):
+    """Every document has the notice, so none of its words is rare; SPDX lines too."""
+    rows = [(d, f"prose number {d}\nReleased under the MIT License\nand more", f"a{d}/x") for d in range(30)]
+    rows += [(30 + d, f"# SPDX-License-Identifier: EPL-2.0\nlicense {d}", f"b{d}/x") for d in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(df, df.path).collect()}
+    assert got == {d: "MIT" if d < 30 else "EPL-2.0" for d in range(60)}
+
+
+def test_a_long_notice_within_a_text(spark):
+    """A notice of many short lines before a program is compared as one block."""
+    own = licenses.words(licenses.TEMPLATES["BSD-2-Clause"][0])
+    notice = "\n".join("// " + " ".join(own[a : a + 5]) for a in range(0, len(own), 5))
+    body = "\n".join(f"x{k} = compute{k}(y{k}) + z{k}" for k in range(40))
+    df = spark.createDataFrame([(1, f"#!/bin/x{1}\n{notice}\n{body}", "g/m.c"), *[(k, f"plain prose {k}", f"h{k}/x") for k in range(2, 40)]], SCHEMA)
+    found = licenses.own_licenses(df.selectExpr("doc_id as row", "text")).collect()
+    assert [(r.row, r.license) for r in found] == [(1, "BSD-2-Clause")] and found[0].cosine > 0.999
+    assert found[0].n_lines >= len(notice.split("\n"))
