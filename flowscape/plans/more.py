@@ -410,8 +410,9 @@ BLOCK = 4096
 
 @query(_sql(f"SELECT (packet_index // {BLOCK})::VARCHAR AS file, row_number() OVER (PARTITION BY packet_index // {BLOCK} ORDER BY packet_index) AS packet_index, round(ts * 1000000)::BIGINT AS ts_us, 'ok' AS status, 4 AS ip_version, protocol, src_ip, src_port, dst_ip, dst_port, CASE WHEN protocol = 6 THEN fl END AS flags, frame - CASE WHEN protocol = 6 THEN 54 ELSE 42 END AS payload_bytes, frame AS frame_bytes, frame - 14 AS ip_bytes FROM k"))
 def capture_packets(s, d):
-    """The packets written as nanosecond captures, and read back from their bytes."""
-    files = capture.to_captures(packets(s, d).select("packet_index", "ts", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flags", "frame_bytes"), BLOCK)
+    """The packets written as nanosecond captures, and read back from their bytes.  User ids over 25,535 give ports and
+    those over 63,999 address parts that no Ethernet capture holds; captures with such ids are of WIDE records."""
+    files = capture.to_captures(packets(s, d).select("packet_index", "ts", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flags", "frame_bytes"), BLOCK, wide=True)
     return capture.decode_captures(files).select("file", "packet_index", F.round(F.col("ts") * 1000000).cast("long").alias("ts_us"), "status", "ip_version", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "flags", "payload_bytes", "frame_bytes", "ip_bytes")
 
 
