@@ -71,7 +71,7 @@ def wide(tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["capture_packets"])
+@pytest.mark.parametrize("name", ["capture_packets", "capture_starts"])
 def test_query_equals_oracle(spark, wide, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{wide}/events.parquet'")
