@@ -424,8 +424,8 @@ def capture_starts(s, d):
 
 @query(_sql("SELECT flow_id, src_ip, src_port, dst_ip, dst_port, protocol, packet_count, byte_count, floor(start_time)::BIGINT AS start_s, floor(end_time)::BIGINT AS end_s FROM fl"))
 def flow_records(s, d):
-    """Flows as 56-byte records, read back from their bytes."""
-    return wire.from_records(wire.to_records(wire.checked_flows(_flows(s, d))))
+    """Flows as 56-byte records, read back from their bytes; the flows of user ids over 25,535 as WIDE ones."""
+    return wire.from_records(wire.to_records(wire.checked_flows(_flows(s, d), wide=True), wide=True))
 
 
 @query(_sql("SELECT count(*) AS input_rows, 0::BIGINT AS excluded_ipv6, 0::BIGINT AS excluded_protocol, count(*) AS included_flows, sum(packet_count)::BIGINT AS included_packets, sum(byte_count)::BIGINT AS included_bytes FROM fl"))

@@ -1,4 +1,4 @@
-"""Captures of packets whose address parts pass 255 and ports 65,535, as the events' large copies give them."""
+"""Captures of packets and records of flows whose address parts pass 255 and ports 65,535, as the events' large copies give them."""
 
 import os
 import struct
@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from flowscape.plans import registry
-from flowscape.sources import capture
+from flowscape.sources import capture, wire
 
 SF = "/root/testdata/sf0.001"
 SHIFT = 88_500  # as in test_wide_ids
@@ -61,6 +61,23 @@ def test_only_captures_that_need_it_are_wide(spark):
         capture.to_captures(df, 2).collect()
 
 
+def test_wide_flow_records(spark):
+    schema = "flow_id long, ip_version int, protocol int, src_ip string, src_port int, dst_ip string, dst_port int, packet_count long, byte_count long, start_time double, end_time double"
+    ends = [ENDS[2][:4], ENDS[0][:4], ("192.168.3.22", 80, "10.2.16777215.300", 2**31 - 1)]
+    rows = [(k, 4, 6, *e, 3, 400, 1.5, 2.5) for k, e in enumerate(ends)]
+    df = spark.createDataFrame(rows, schema)
+    records = wire.to_records(wire.checked_flows(df, wide=True), wide=True)
+    assert {r.flow_id: (len(r.record), r.record[36]) for r in records.collect()} == {0: (56, 4), 1: (56, wire.WIDE), 2: (56, wire.WIDE)}
+    assert sorted(map(tuple, wire.from_records(records).collect())) == [(k, *e, 6, 3, 400, 1, 2) for k, e in enumerate(ends)]
+    assert wire.pack_record(*(ends[0][i] for i in (0, 2, 1, 3)), 6, 3, 400, 1.5, 2.5, wide=True) == wire.pack_record(*(ends[0][i] for i in (0, 2, 1, 3)), 6, 3, 400, 1.5, 2.5)
+    with pytest.raises(wire.WireError, match="flow 1: port out of range"):
+        wire.checked_flows(df.where("flow_id = 1"))
+    body = bytearray(wire.pack_record("10.0.354.1", "10.0.0.1", 1, 2, 6, 3, 400, 1, 2, wide=True))
+    for at, value, what in ((15, 1, "spare bytes"), (36, 4, "not IPv4"), (36, 5, "not IPv4")):
+        with pytest.raises(wire.WireError, match=what):
+            wire.unpack_record(bytes(body[:at] + bytes([value]) + body[at + 1 :]))
+
+
 @pytest.fixture(scope="module")
 def wide(tmp_path_factory):
     """The small events and a copy with shifted keys."""
@@ -71,7 +88,7 @@ def wide(tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["capture_packets", "capture_starts"])
+@pytest.mark.parametrize("name", ["capture_packets", "capture_starts", "flow_records"])
 def test_query_equals_oracle(spark, wide, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{wide}/events.parquet'")
